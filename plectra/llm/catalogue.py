@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .licenses import op5_license_scan
 from .line_dedup import OP8_SQL, op8_line_dedup
 from .packing import op9_packing
+from .simhash import op3_fingerprints
 
 QUERIES = {
+    "op3_fingerprints": op3_fingerprints,
+    "op5_license_scan": op5_license_scan,
     "op8_line_dedup": op8_line_dedup,
     "op9_packing": op9_packing,
 }
