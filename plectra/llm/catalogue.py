@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from .decontaminate import op10_decontamination
 from .licenses import op5_license_scan
 from .line_dedup import OP8_SQL, op8_line_dedup
+from .ngram_join import op6_ngram_join
 from .packing import op9_packing
 from .simhash import op3_fingerprints
+from .suffix_dedup import op1_suffix_dedup
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op3_fingerprints": op3_fingerprints,
     "op5_license_scan": op5_license_scan,
+    "op6_ngram_join": op6_ngram_join,
     "op8_line_dedup": op8_line_dedup,
     "op9_packing": op9_packing,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE_SQL = {

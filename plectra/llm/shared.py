@@ -36,6 +36,10 @@ def order_id(column: str | Column = "doc_id") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(LOWEST_ID))
 
 
+def real_id(column: str) -> Column:
+    return F.nullif(F.col(column), F.lit(LOWEST_ID))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(
