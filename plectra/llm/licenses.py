@@ -45,7 +45,7 @@ NOTICES = [
 
 def scan_words(text: Column) -> Column:
     """Words of a text whose A-Z are lower-cased."""
-    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), NOT_WORD, -1), "")
+    return F.array_remove(F.split(F.coalesce(ascii_lower(text), F.lit("")), NOT_WORD, -1), "")
 
 
 def grams(df: DataFrame, keys: list[str], words: str) -> DataFrame:

@@ -19,25 +19,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .shared import ascii_lower, hash_pair, order_id, table, write_table
 
-BLANKS = "[\\x20\\x09-\\x0D]"
-
-
-def line_key(line: Column) -> Column:
-    return ascii_lower(F.regexp_replace(line, f"^{BLANKS}+|{BLANKS}+$", ""))
+BLANKS = " \t\n\x0b\f\r"
 
 
 def split_lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def key_hashes(lines: Column, min_chars: int) -> Column:
-    """One entry a line: the key's 128-bit hash, or null for keys that are too short."""
-
-    def one(line: Column) -> Column:
-        key = line_key(line)
-        return F.when(F.char_length(key) >= min_chars, hash_pair(key))
+def key_hashes(text: Column, min_chars: int) -> Column:
+    """One entry a line: the key's 128-bit hash, or null for keys that are too short.
 
-    return F.transform(lines, one)
+    Each step has its own transform: Spark evaluates a lambda's body anew wherever it is named.
+    """
+    keys = F.transform(split_lines(ascii_lower(text)), lambda line: F.btrim(line, F.lit(BLANKS)))
+    return F.transform(keys, lambda key: F.when(F.char_length(key) >= min_chars, hash_pair(key)))
 
 
 class LineRuns:
@@ -106,7 +101,7 @@ def dedup_lines(
     """``docs`` as struct ``doc`` beside n_lines, n_dropped and kept_text."""
     runs = LineRuns(fanout)
     for part in document_batches(docs.select("doc_id", "text"), batches):
-        hashes = F.array_compact(F.array_distinct(key_hashes(split_lines(F.col("text")), min_chars)))
+        hashes = F.array_compact(F.array_distinct(key_hashes(F.col("text"), min_chars)))
         runs.add(part.select(order_id().alias("id"), F.explode(hashes).alias("k")).select("id", "k.h1", "k.h2"))
     repeated = runs.repeated(min_docs)
 
@@ -115,7 +110,7 @@ def dedup_lines(
         docs.select(
             order_id().alias("id"),
             text_hash.alias("th"),
-            F.posexplode(key_hashes(split_lines(F.col("text")), min_chars)).alias("line", "k"),
+            F.posexplode(key_hashes(F.col("text"), min_chars)).alias("line", "k"),
         )
         .where(F.col("k").isNotNull())
         .select("id", "th", "line", "k.h1", "k.h2")
@@ -127,16 +122,17 @@ def dedup_lines(
         .agg(F.collect_set("line").alias("gone"))
     )
     rows = docs.select(F.struct("*").alias("doc"), order_id().alias("id"), text_hash.alias("th"))
-    lines = split_lines(F.col("doc.text"))
-    numbers = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
-    kept = F.when(F.col("gone").isNull(), F.coalesce(F.col("doc.text"), F.lit(""))).otherwise(
-        F.array_join(F.transform(numbers, lambda i: F.get(lines, i)), "\n")
-    )
-    return rows.join(dropped, ["id", "th"], "left").select(
-        "doc",
-        F.size(lines).cast("long").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
-        kept.alias("kept_text"),
+    joined = rows.join(dropped, ["id", "th"], "left").select("doc", "gone", split_lines(F.col("doc.text")).alias("lines"))
+    marks = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    kept = F.array_join(F.transform("keep", lambda i: F.get(F.col("lines"), i)), "\n")
+    return (
+        joined.withColumn("keep", F.when(F.col("gone").isNotNull(), marks))
+        .select(
+            "doc",
+            F.size("lines").cast("long").alias("n_lines"),
+            F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
+            F.when(F.col("gone").isNull(), F.coalesce("doc.text", F.lit(""))).otherwise(kept).alias("kept_text"),
+        )
     )
 
 

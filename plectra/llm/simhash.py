@@ -33,9 +33,8 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+", -1), "")
 
 
-def terms(text: Column) -> Column:
+def terms(w: Column) -> Column:
     """Pairs of neighbouring words; the last word stands alone."""
-    w = words(text)
     return F.arrays_zip(w.alias("a"), F.slice(w, 2, F.greatest(F.size(w), F.lit(1))).alias("b"))
 
 
@@ -63,7 +62,7 @@ def bits(half: int) -> Column:
 
 def fingerprint(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """(keys, f1, f2): the fingerprint of each row's text; ``keys`` name one row."""
-    exploded = df.select(*keys, F.inline_outer(terms(F.col(text))).alias("a", "b"))
+    exploded = df.select(*keys, words(F.col(text)).alias("w")).select(*keys, F.inline_outer(terms(F.col("w"))).alias("a", "b"))
     weight = F.coalesce(F.length("a"), F.lit(0)) + F.coalesce(F.length("b"), F.lit(0))
     hashed = exploded.select(
         *keys,
