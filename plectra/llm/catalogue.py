@@ -7,12 +7,14 @@ from .licenses import op5_license_scan
 from .line_dedup import OP8_SQL, op8_line_dedup
 from .ngram_join import op6_ngram_join
 from .packing import op9_packing
+from .quality import op4_quality
 from .simhash import op3_fingerprints
 from .suffix_dedup import op1_suffix_dedup
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op3_fingerprints": op3_fingerprints,
+    "op4_quality": op4_quality,
     "op5_license_scan": op5_license_scan,
     "op6_ngram_join": op6_ngram_join,
     "op8_line_dedup": op8_line_dedup,
