@@ -136,6 +136,13 @@ def dedup_lines(
     )
 
 
+def clean_lines(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with the kept text, and its length where the documents carry one."""
+    made = dedup_lines(docs, **options)
+    new = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
+    return made.select(*[new[c].alias(c) if c in new else F.col("doc")[c].alias(c) for c in docs.columns])
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select(
         F.col("doc.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256")

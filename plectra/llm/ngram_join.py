@@ -222,6 +222,14 @@ def jaccard_classes(
     )
 
 
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one document of each near-duplicate group: the one of the least id, once."""
+    heads = jaccard_classes(docs, **options).where("id = class_id").select("id").distinct()
+    rows = docs.select(F.struct("*").alias("doc"), order_id().cast("long").alias("id"))
+    kept = rows.join(heads, "id", "left_semi").withColumn("th", F.xxhash64(F.coalesce("doc.text", F.lit(""))))
+    return kept.dropDuplicates(["id", "th"]).select("doc.*")
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents")).select(
         real_id("id").alias("doc_id"), "class_id", "text_class", "n_links", "n_shingles"
