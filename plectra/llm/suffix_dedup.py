@@ -21,6 +21,7 @@ rows; other columns are left out.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +38,8 @@ PLACE_BITS = U64(26)
 SEGMENT = 1 << 22
 SORT_BYTES = 1 << 21
 
-ANCHORS = "id long, low long, high long, lead binary, c1 long, c2 long"
+ANCHORS = "id long, low long, high long, at long, lead binary, c1 long, c2 long"
+SAMPLED_A_BUCKET = 40
 
 
 def word_view(data: np.ndarray) -> np.ndarray:
@@ -112,11 +114,12 @@ def anchors(docs: DataFrame, length: int) -> DataFrame:
                             pa.array(ids[start + owner]),
                             pa.array(low - edges[owner]),
                             pa.array(high - edges[owner]),
+                            pa.array(anchor - low),
                             pa.array(lead, pa.binary()),
                             pa.array(c1),
                             pa.array(c2),
                         ],
-                        names=["id", "low", "high", "lead", "c1", "c2"],
+                        names=["id", "low", "high", "at", "lead", "c1", "c2"],
                     )
 
     return docs.mapInArrow(run, ANCHORS)
@@ -168,8 +171,15 @@ def sort_piece(rows: list[tuple[int, int, int, bytes]], length: int) -> list[tup
     return [(*contexts[o][0], lows, highs) for o, (lows, highs) in found.items()]
 
 
-def shared_windows(suffixes: DataFrame, length: int) -> DataFrame:
-    """(c1, c2, lows, highs) from suffixes (lead, c1, c2, n_starts, context) in range partitions."""
+def sampled_splitters(leads: DataFrame, buckets: int, per_bucket: int = SAMPLED_A_BUCKET) -> list[bytes]:
+    """``buckets - 1`` leading grams that part the leads about evenly, from a bounded sample by hash."""
+    sample = leads.orderBy(F.xxhash64("lead")).limit(buckets * per_bucket).collect()
+    ordered = sorted(bytes(row["lead"]) for row in sample)
+    return [ordered[len(ordered) * i // buckets] for i in range(1, buckets)] if ordered else []
+
+
+def shared_windows(suffixes: DataFrame, buckets: int, length: int) -> DataFrame:
+    """(c1, c2, lows, highs) from suffixes (bucket, lead, c1, c2, n_starts, context), a bucket a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, lead = [], 0, None
@@ -193,8 +203,8 @@ def shared_windows(suffixes: DataFrame, length: int) -> DataFrame:
                 names=["c1", "c2", "lows", "highs"],
             )
 
-    ordered = suffixes.repartitionByRange("lead").sortWithinPartitions("lead", "c1", "c2")
-    return ordered.mapInArrow(run, "c1 long, c2 long, lows array<long>, highs array<long>")
+    dealt = suffixes.repartitionById(buckets, F.col("bucket")).drop("bucket")
+    return dealt.sortWithinPartitions("lead", "c1", "c2").mapInArrow(run, "c1 long, c2 long, lows array<long>, highs array<long>")
 
 
 def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -203,7 +213,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     placed = write_table(anchors(narrow, length), "anchors")
     contexts = write_table(
         placed.groupBy("lead", "c1", "c2").agg(
-            F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "low", "high")).alias("place")
+            F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "low", "high", "at")).alias("place")
         ),
         "contexts",
     )
@@ -213,29 +223,29 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         contexts.join(several, "lead")
         .select("c1", "c2", "place.*")
         .groupBy("id")
-        .agg(*[F.collect_list(c).alias(c) for c in ("c1", "c2", "low", "high")])
+        .agg(*[F.collect_list(c).alias(c) for c in ("c1", "c2", "low", "high", "at")])
     )
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    splitters = sampled_splitters(several, buckets)
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, *lists in zip(*(batch.column(i) for i in range(5))):
+            for text, *lists in zip(*(batch.column(i) for i in range(6))):
                 raw = (text.as_py() or "").encode()
-                for c1, c2, low, high in zip(*(x.as_py() for x in lists)):
+                for c1, c2, low, high, at in zip(*(x.as_py() for x in lists)):
                     context = raw[low : high + length]
-                    part = np.frombuffer(context, np.uint8)
-                    edges = np.array([0, len(part)])
-                    for anchor, first, last in anchor_runs(part, edges, length):
-                        a = int(anchor[0])
-                        if len(anchor) == 1 and context_hash(memoryview(context), 0, high - low, a, length) == (c1, c2):
-                            out.append((context[a : a + GRAM], c1, c2, high - low + 1, context))
+                    # An id may repeat with another text, where the place says nothing.
+                    if context_hash(memoryview(context), 0, high - low, at, length) == (c1, c2):
+                        lead = context[at : at + GRAM]
+                        out.append((bisect_right(splitters, lead), lead, c1, c2, high - low + 1, context))
             if out:
-                kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                names = ["lead", "c1", "c2", "n_starts", "context"]
+                kinds = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                names = ["bucket", "lead", "c1", "c2", "n_starts", "context"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
-    fetched = narrow.join(requests, "id").select("text", "c1", "c2", "low", "high")
-    suffixes = fetched.mapInArrow(cut_out, "lead binary, c1 long, c2 long, n_starts long, context binary")
+    fetched = narrow.join(requests, "id").select("text", "c1", "c2", "low", "high", "at")
+    suffixes = fetched.mapInArrow(cut_out, "bucket int, lead binary, c1 long, c2 long, n_starts long, context binary")
     whole = contexts.where("n > 1").select(
         "c1",
         "c2",
@@ -243,7 +253,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         F.array((F.col("place.high") - F.col("place.low"))).alias("highs"),
     )
     single = contexts.where("n = 1").select("c1", "c2")
-    partly = shared_windows(suffixes, length).join(single, ["c1", "c2"], "left_semi")
+    partly = shared_windows(suffixes, buckets, length).join(single, ["c1", "c2"], "left_semi")
     found = whole.unionByName(partly)
     return (
         placed.select("id", "low", "c1", "c2")
