@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from .pools import ORACLE_SQL, QUERIES
+from .construction import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
