@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 SHINGLE = 5
@@ -39,7 +40,7 @@ for _low, _high in ((48, 58), (65, 91), (97, 123), (128, 256)):
 
 def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes; a longer text is a range of its own."""
-    sizes = np.asarray(pa.compute.binary_length(texts).fill_null(0), dtype=np.int64)
+    sizes = np.asarray(pc.binary_length(texts).fill_null(0), dtype=np.int64)
     start, held = 0, 0
     for i, size in enumerate(sizes):
         if i > start and held + size > limit:
