@@ -29,8 +29,8 @@ GRAMS = (3, 6)
 DIM, HIDDEN = 8, 10
 PER_CLASS = 1000
 LONGEST_LEARNT = 2500
-EPOCHS = 6
-EARLY = 3
+EPOCHS = 20
+EARLY = 10
 LANES = 4096
 
 
