@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .shared import table, write_table
 
 WINDOW = 1024
-PIECE = 256
-BUNDLE = 4096
+PIECE = 128
+BUNDLE = 2048
 _ENCODERS: dict[str, object] = {}
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
