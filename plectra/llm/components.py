@@ -11,14 +11,24 @@ def _distinct(edges: DataFrame) -> DataFrame:
     return edges.where("u <> v").distinct()
 
 
+def _joined(edges: DataFrame) -> bool:
+    """Whether every edge leads straight to a root: no id has two parents, and no parent has one itself."""
+    up = edges.select(F.col("u").alias("id"), F.lit(1).alias("parents"), F.lit(0).alias("children"))
+    down = edges.select(F.col("v").alias("id"), F.lit(0).alias("parents"), F.lit(1).alias("children"))
+    ids = up.union(down).groupBy("id").agg(F.sum("parents").alias("parents"), F.max("children").alias("children"))
+    return ids.where((F.col("parents") > 1) | ((F.col("parents") > 0) & (F.col("children") > 0))).isEmpty()
+
+
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 60) -> DataFrame:
     """(id, root) of every id on an edge; the root is the least id of its component.
 
     Minima are joined back rather than neighbours collected, so a hub needs no list in one task.
     """
-    now = write_table(_distinct(edges.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v"))), "edges")
-    last = None
+    a, b = F.col(u).cast("long"), F.col(v).cast("long")
+    now = write_table(_distinct(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))), "edges")
     for _ in range(rounds):
+        if _joined(now):
+            break
         # Large star: each neighbour above u is linked to the least of u and its neighbours.
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -28,11 +38,8 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", rounds: i
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = write_table(_distinct(small.union(low.select("u", F.col("m").alias("v")))), "edges")
-        state = now.agg(
-            F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.countDistinct("u")
-        ).first()
-        if state == last:
-            break
-        last = state
-    roots = now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("id"), "root")
-    return roots.union(roots.select(F.col("root").alias("id"), "root")).distinct()
+    else:
+        raise RuntimeError(f"components have not met after {rounds} rounds")
+    return now.select(F.col("u").alias("id"), F.col("v").alias("root")).union(
+        now.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()
+    )
