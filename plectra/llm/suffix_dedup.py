@@ -12,7 +12,10 @@ is enough to sort the suffixes that start at such anchors: about one byte in 200
    suffixes by multikey quicksort, eight bytes a level, and windows that stay together for ``length`` bytes are
    equal.  A bucket is sorted in pieces; the group of one leading gram is carried across a piece's boundary
    and splitters never part it, so every comparison is made.
-4. Repeated starts go back to the documents and cover ``length`` bytes each.
+4. A leading gram of more than ``HOT`` contexts is bound to no task.  Windows whose anchors lie in one stretch of
+   ``STRETCH`` places share a core of ``length - STRETCH + 1`` bytes.  Cores are counted by 128-bit hash; only
+   windows of a core that several contexts have are hashed and counted themselves.
+5. Repeated starts go back to the documents and cover ``length`` bytes each.
 
 Defined results: a null or empty text has nothing to remove; texts shorter than ``length`` are kept whole;
 equal rows repeat each other; an id names one text; a null id is below every other; an empty table gives no
@@ -40,6 +43,13 @@ SORT_BYTES = 1 << 21
 
 ANCHORS = "id long, low long, high long, at long, lead binary, c1 long, c2 long"
 SAMPLED_A_BUCKET = 40
+HOT = 2000
+STRETCH = 24
+SALTS = 32
+
+CONTEXTS = "c1 long, c2 long, at long, n_starts long, context binary"
+HASHED = "c1 long, c2 long, place long, h1 long, h2 long"
+SHARED = "c1 long, c2 long, lows array<long>, highs array<long>"
 
 
 def word_view(data: np.ndarray) -> np.ndarray:
@@ -204,10 +214,87 @@ def shared_windows(suffixes: DataFrame, buckets: int, length: int) -> DataFrame:
             )
 
     dealt = suffixes.repartitionById(buckets, F.col("bucket")).drop("bucket")
-    return dealt.sortWithinPartitions("lead", "c1", "c2").mapInArrow(run, "c1 long, c2 long, lows array<long>, highs array<long>")
+    return dealt.sortWithinPartitions("lead", "c1", "c2").mapInArrow(run, SHARED)
+
+
+def hash_rows(rows: list[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """(c1, c2, place, h1, h2) from (c1, c2, place, bytes)."""
+    if rows:
+        c1, c2, place, raw = zip(*rows)
+        hashed = np.frombuffer(b"".join(xxhash.xxh3_128_digest(r) for r in raw), "<i8").reshape(-1, 2)
+        columns = [pa.array(x, pa.int64()) for x in (c1, c2, place)] + [pa.array(hashed[:, 0]), pa.array(hashed[:, 1])]
+        yield pa.RecordBatch.from_arrays(columns, names=["c1", "c2", "place", "h1", "h2"])
+
+
+def cores(contexts: DataFrame, length: int) -> DataFrame:
+    """A row a context and stretch of anchor places; ``place`` is the stretch."""
+    width = min(STRETCH, length)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 500):
+                rows = []
+                for c1, c2, at, n, raw in zip(*(batch.slice(low, 500).column(i).to_pylist() for i in range(5))):
+                    for k in range((at - n + 1) // width, at // width + 1):
+                        start = at - k * width
+                        # Only a stretch's windows that the context has matter, and each holds the core.
+                        rows.append((c1, c2, k, k.to_bytes(4, "little") + raw[start : start + length - width + 1]))
+                yield from hash_rows(rows)
+
+    return contexts.mapInArrow(run, HASHED)
+
+
+def core_windows(contexts: DataFrame, length: int) -> DataFrame:
+    """A row a window of the ``stretches`` of each context; ``place`` is the window's start."""
+    width = min(STRETCH, length)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 100):
+                rows = []
+                for c1, c2, at, n, raw, ks in zip(*(batch.slice(low, 100).column(i).to_pylist() for i in range(6))):
+                    for k in ks:
+                        for start in range(max(0, at - k * width - width + 1), min(n - 1, at - k * width) + 1):
+                            rows.append((c1, c2, start, raw[start : start + length]))
+                yield from hash_rows(rows)
+
+    return contexts.mapInArrow(run, HASHED)
+
+
+def held_by_several(rows: DataFrame) -> DataFrame:
+    """The (c1, c2, place) whose hash another context has too; a common hash is dealt over ``SALTS`` tasks."""
+    rows = rows.withColumn("salt", F.pmod("c1", F.lit(SALTS)))
+    ends = [f(c).alias(f.__name__ + c) for c in ("c1", "c2") for f in (F.min, F.max)]
+    part = rows.groupBy("h1", "h2", "salt").agg(*ends)
+    both = [F.min(f"min{c}").alias(f"min{c}") for c in ("c1", "c2")] + [F.max(f"max{c}").alias(f"max{c}") for c in ("c1", "c2")]
+    several = part.groupBy("h1", "h2").agg(*both, F.collect_list("salt").alias("salts"))
+    several = several.where("minc1 <> maxc1 or minc2 <> maxc2").select("h1", "h2", F.explode("salts").alias("salt"))
+    return rows.join(several, ["h1", "h2", "salt"], "left_semi").select("c1", "c2", "place")
+
+
+def hot_windows(contexts: DataFrame, length: int) -> DataFrame:
+    """(c1, c2, lows, highs), as ``shared_windows``, from contexts of leads with any number of contexts."""
+    wanted = held_by_several(cores(contexts, length)).groupBy("c1", "c2").agg(F.collect_set("place").alias("stretches"))
+    chosen = contexts.join(wanted, ["c1", "c2"]).select("c1", "c2", "at", "n_starts", "context", "stretches")
+    windows = write_table(core_windows(chosen, length), "windows")
+    found = held_by_several(windows).groupBy("c1", "c2").agg(F.collect_set("place").alias("places"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lows, highs = [], []
+            for places in batch.column(2).to_pylist():
+                at = np.sort(np.array(places))
+                new = np.r_[True, np.diff(at) != 1]
+                lows.append(at[new].tolist())
+                highs.append(at[np.r_[new[1:], True]].tolist())
+            lists = pa.list_(pa.int64())
+            columns = [batch.column(0), batch.column(1), pa.array(lows, lists), pa.array(highs, lists)]
+            yield pa.RecordBatch.from_arrays(columns, names=["c1", "c2", "lows", "highs"])
 
-def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    return found.mapInArrow(run, SHARED)
+
+
+def repeated_starts(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """(id, lows, highs): runs of window starts whose ``length`` bytes start anywhere else too."""
     narrow = docs.select(order_id().cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     placed = write_table(anchors(narrow, length), "anchors")
@@ -217,14 +304,10 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         ),
         "contexts",
     )
-    several = contexts.groupBy("lead").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("lead")
-    # A context found twice needs no sorting for itself, but others may share its windows.
-    requests = (
-        contexts.join(several, "lead")
-        .select("c1", "c2", "place.*")
-        .groupBy("id")
-        .agg(*[F.collect_list(c).alias(c) for c in ("c1", "c2", "low", "high", "at")])
-    )
+    several = write_table(contexts.groupBy("lead").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "leads")
+    hot_leads = F.broadcast(several.where(F.col("m") > hot).select("lead"))  # at most one for ``hot`` contexts
+    any_hot = not hot_leads.isEmpty()
+    several = several.where(F.col("m") <= hot).select("lead")
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     splitters = sampled_splitters(several, buckets)
 
@@ -237,15 +320,36 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     context = raw[low : high + length]
                     # An id may repeat with another text, where the place says nothing.
                     if context_hash(memoryview(context), 0, high - low, at, length) == (c1, c2):
-                        lead = context[at : at + GRAM]
-                        out.append((bisect_right(splitters, lead), lead, c1, c2, high - low + 1, context))
+                        out.append((c1, c2, at, high - low + 1, context))
             if out:
-                kinds = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                names = ["bucket", "lead", "c1", "c2", "n_starts", "context"]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                names = ["c1", "c2", "at", "n_starts", "context"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
-    fetched = narrow.join(requests, "id").select("text", "c1", "c2", "low", "high", "at")
-    suffixes = fetched.mapInArrow(cut_out, "bucket int, lead binary, c1 long, c2 long, n_starts long, context binary")
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in cut_out(batches):
+            leads = [raw[at : at + GRAM] for at, raw in zip(batch.column("at").to_pylist(), batch.column("context").to_pylist())]
+            dealt = [pa.array([bisect_right(splitters, lead) for lead in leads], pa.int32()), pa.array(leads, pa.binary())]
+            names = ["bucket", "lead", "c1", "c2", "n_starts", "context"]
+            yield pa.RecordBatch.from_arrays([*dealt, *(batch.column(c) for c in names[2:])], names=names)
+
+    def fetched(chosen: DataFrame) -> DataFrame:
+        # A context found twice needs no sorting for itself, but others may share its windows.
+        requests = (
+            chosen.select("c1", "c2", "place.*")
+            .groupBy("id")
+            .agg(*[F.collect_list(c).alias(c) for c in ("c1", "c2", "low", "high", "at")])
+        )
+        return narrow.join(requests, "id").select("text", "c1", "c2", "low", "high", "at")
+
+    cold = contexts.join(hot_leads, "lead", "left_anti") if any_hot else contexts
+    suffixes = fetched(cold.join(several, "lead")).mapInArrow(
+        deal, "bucket int, lead binary, c1 long, c2 long, n_starts long, context binary"
+    )
+    shared = shared_windows(suffixes, buckets, length)
+    if any_hot:
+        cut = fetched(contexts.join(hot_leads, "lead")).mapInArrow(cut_out, CONTEXTS)
+        shared = shared.unionByName(hot_windows(write_table(cut, "hot"), length))
     whole = contexts.where("n > 1").select(
         "c1",
         "c2",
@@ -253,7 +357,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         F.array((F.col("place.high") - F.col("place.low"))).alias("highs"),
     )
     single = contexts.where("n = 1").select("c1", "c2")
-    partly = shared_windows(suffixes, buckets, length).join(single, ["c1", "c2"], "left_semi")
+    partly = shared.join(single, ["c1", "c2"], "left_semi")
     found = whole.unionByName(partly)
     return (
         placed.select("id", "low", "c1", "c2")
@@ -265,9 +369,9 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     )
 
 
-def dedup_substrings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def dedup_substrings(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): ``kept`` is the bytes that no repeated string covers."""
-    starts = repeated_starts(docs, length)
+    starts = repeated_starts(docs, length, hot)
     narrow = docs.select(order_id().cast("long").alias("id"), F.col("text").cast("string").alias("text"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
