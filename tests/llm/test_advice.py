@@ -2,10 +2,11 @@
 
 import collections
 import random
+import zlib
 
 import numpy as np
 
-from plectra.llm import suffix_dedup
+from plectra.llm import packing, suffix_dedup
 
 
 def kept_bytes(texts, length):
@@ -46,3 +47,19 @@ def test_op1_hot_leads(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == want
     assert any(len(k) < len(t) for k, t in zip(want, texts))
     assert largest and max(largest) <= 4
+
+
+def test_op9_added_tokens(spark):
+    """An added token in a text has its own id, as `tokenizers` gives it with its default settings."""
+    from tokenizers import Tokenizer
+
+    coder = Tokenizer.from_file(packing.default_vocabulary())
+    token = "<|endoftext|>"
+    texts = [f"a{token}b", f"one  {token}  two{token}{token}", token, f"{token}\n x", "<|endoftext|", "plain words, no token", f"<{token}|>", "été 中文 " + token]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in packing.tokenize_pieces(docs, with_ids=True).collect()}
+    for i, text in enumerate(texts):
+        ids = [*coder.encode(text, add_special_tokens=False).ids, 0]
+        assert np.frombuffer(got[i].ids, "<u4").tolist() == ids
+        assert (got[i].doc_tokens, got[i].ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    assert 50256 in np.frombuffer(got[0].ids, "<u4")
