@@ -8,7 +8,7 @@ shingle's weight being its count: the sum of least weights over the sum of great
 
 Defined results: null and empty texts match nothing, nor do items without words; an item of fewer than
 five words is one shingle; equal items match alike; ids may repeat or be null; other columns pass through
-``decontaminate`` unchanged, and every row of a matched document goes.
+``decontaminate`` unchanged, which drops the rows that match, named by id and text hash.
 """
 
 from __future__ import annotations
@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bytetext import SHINGLE, U64, as_bytes, chunks, fold, mix, word_hashes, words
-from .shared import order_id, table
+from .shared import order_id, table, text_hash
 
 THRESHOLD = 0.8
 RADIUS = 32
 BITS = 128
 SHARD_BYTES = 8 << 20
-FOUND = "doc_id long, item_id long, similarity double, start_word long, n_words long, n_windows long"
+FOUND = "doc_id long, th long, item_id long, similarity double, start_word long, n_words long, n_windows long"
 
 
 def runs(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -142,7 +142,12 @@ def matches(items: Items, hashes: np.ndarray, counts: np.ndarray, threshold: flo
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """One row a document row and benchmark item that some window of it matches, with the best window.
+    """One row a document row and benchmark item that some window of it matches, with the best window."""
+    return leaks(docs, benchmark, threshold, shard_bytes).drop("th")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """``find_leaks`` with the hash of each document row's text.
 
     The benchmark goes to the workers in shards of about ``shard_bytes``; a larger one takes more passes.
     """
@@ -150,7 +155,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     items = benchmark.select(F.col("item_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     held = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-held // shard_bytes))
-    narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    narrow = docs.select(F.col("doc_id").cast("long"), text_hash(F.col("text")).alias("th"), F.col("text").cast("string"))
     found = None
     for shard in range(shards):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard).orderBy("item_id", "text").collect()
@@ -166,7 +171,7 @@ def leak_finder(sent, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(*sent.value)
         for batch in batches:
-            doc_ids, texts = batch.column(0), batch.column(1)
+            doc_ids, text_hashes, texts = batch.column(0), batch.column(1), batch.column(2)
             rows = []
             for start, stop in chunks(texts):
                 data, edges = as_bytes(texts.slice(start, stop - start))
@@ -179,23 +184,24 @@ def leak_finder(sent, threshold: float):
                 yield pa.RecordBatch.from_arrays(
                     [
                         doc_ids.take(pa.array(owner, pa.int64())),
+                        text_hashes.take(pa.array(owner, pa.int64())),
                         pa.array(item, pa.int64()),
                         pa.array(value, pa.float64()),
                         pa.array(at, pa.int64()),
                         pa.array(size, pa.int64()),
                         pa.array(windows, pa.int64()),
                     ],
-                    names=["doc_id", "item_id", "similarity", "start_word", "n_words", "n_windows"],
+                    names=["doc_id", "th", "item_id", "similarity", "start_word", "n_words", "n_windows"],
                 )
 
     return run
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item."""
-    leaked = find_leaks(docs, benchmark, threshold).select(order_id().alias("leaked_id")).distinct()
-    rows = docs.select(F.struct("*").alias("doc"), order_id().alias("id"))
-    return rows.join(leaked, F.col("id") == F.col("leaked_id"), "left_anti").select("doc.*")
+    """``docs`` without the rows that hold a benchmark item."""
+    leaked = leaks(docs, benchmark, threshold).select(order_id().cast("long").alias("id"), "th").distinct()
+    rows = docs.select(F.struct("*").alias("doc"), order_id().cast("long").alias("id"), text_hash(F.col("text")).alias("th"))
+    return rows.join(leaked, ["id", "th"], "left_anti").select("doc.*")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,8 @@ bucket's size and no pair becomes a row.  Each block returns a class's links and
 linked to, which joins linked classes to near-duplicate groups.
 
 Defined results: a null or empty text and one without words has no shingles and no links, not even to its
-like; a text of fewer than five words has one shingle; equal rows are two documents; an id names one
-text; a null id is below every other; empty tables give empty results; other columns are left out.
+like; a text of fewer than five words has one shingle; equal rows are two documents; ids may be null
+or repeat, as a row is named by its id and its text's hash; a null id is below every other; empty tables give empty results; other columns are left out.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bytetext import SHINGLE, U64, mix, shingle_sets, stream
 from .components import connected_components
-from .shared import order_id, real_id, table, write_table
+from .shared import order_id, real_id, table, text_hash, write_table
 
 THRESHOLD = 0.8
 RECALL = 0.999
@@ -49,7 +49,7 @@ def minhash(values: np.ndarray, multipliers: np.ndarray, offsets: np.ndarray) ->
 
 
 def signatures(docs: DataFrame, bands: int, rows: int, n: int = SHINGLE) -> DataFrame:
-    """(id, c1, c2, n_shingles, keys): the class hash of a shingle set, and its band hashes (none for no shingles)."""
+    """(id, th, c1, c2, n_shingles, keys): the class hash of a shingle set, and its band hashes (none for no shingles)."""
     multipliers = (stream(bands * rows, 11) >> U64(32)).astype(np.uint32) | np.uint32(1)
     offsets = (stream(bands * rows, 12) >> U64(32)).astype(np.uint32)
     places = stream(rows, 13) | U64(1)
@@ -57,7 +57,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, n: int = SHINGLE) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             first, second, sizes, keys = [], [], [], []
-            for values in shingle_sets(batch.column(1), n):
+            for values in shingle_sets(batch.column(2), n):
                 first.append(int(values.sum(dtype=U64).view(np.int64)))
                 second.append(int(mix(values).sum(dtype=U64).view(np.int64)))
                 sizes.append(len(values))
@@ -69,16 +69,17 @@ def signatures(docs: DataFrame, bands: int, rows: int, n: int = SHINGLE) -> Data
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(1),
                     pa.array(first, pa.int64()),
                     pa.array(second, pa.int64()),
                     pa.array(sizes, pa.int64()),
                     pa.array(keys, pa.list_(pa.int64())),
                 ],
-                names=["id", "c1", "c2", "n_shingles", "keys"],
+                names=["id", "th", "c1", "c2", "n_shingles", "keys"],
             )
 
-    narrow = docs.select(order_id().cast("long").alias("id"), F.col("text").cast("string"))
-    return narrow.mapInArrow(run, "id long, c1 long, c2 long, n_shingles long, keys array<long>")
+    narrow = docs.select(order_id().cast("long").alias("id"), text_hash(F.col("text")).alias("th"), F.col("text").cast("string"))
+    return narrow.mapInArrow(run, "id long, th long, c1 long, c2 long, n_shingles long, keys array<long>")
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
@@ -145,13 +146,12 @@ def verify_bin(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.DataFrame({name: np.concatenate([x[i] for x in out]) for i, name in enumerate(("rep", "links", "root"))})
 
 
-def jaccard_classes(
+def linked_rows(
     docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, n: int = SHINGLE, block: int = BLOCK
 ) -> DataFrame:
-    """(id, text_class, class_id, n_links, n_shingles), one row a document.
+    """``jaccard_classes`` with each row's ``th`` and its group ``grp``, null for a text without shingles.
 
-    ``text_class`` is the least id with the same shingle set, ``class_id`` the least id of the group that
-    links join, ``n_links`` the number of other documents at ``threshold`` or above.
+    A class is named by a hash of its shingle set, not by its representative's id, which other rows may share.
     """
     spark = docs.sparkSession
     bands, rows = band_plan(threshold, recall)
@@ -159,27 +159,28 @@ def jaccard_classes(
     classes = write_table(
         signed.where("n_shingles > 0")
         .groupBy("c1", "c2")
-        .agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")),
+        .agg(F.min("id").alias("least"), F.min_by("th", "id").alias("th"), F.count(F.lit(1)).alias("copies"))
+        .withColumn("rep", F.xxhash64("c1", "c2")),
         "classes",
     )
-    heads = signed.join(classes, (signed.id == classes.rep) & (signed.c1 == classes.c1) & (signed.c2 == classes.c2), "left_semi")
-    banded = heads.select("id", F.posexplode("keys").alias("band", "key")).distinct()
+    heads = signed.withColumnRenamed("id", "least").join(classes, ["least", "th", "c1", "c2"], "left_semi")
+    banded = heads.select(F.xxhash64("c1", "c2").alias("id"), F.posexplode("keys").alias("band", "key")).distinct()
     star = banded.groupBy("band", "key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     pairs = banded.join(star, ["band", "key"]).where("id <> low").select(F.col("id").alias("u"), F.col("low").alias("v")).distinct()
     groups = write_table(connected_components(pairs), "groups")
     sizes = groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
 
     # Sets are made again from the texts of candidates only; each goes to the block pairs of its group.
-    wanted = groups.join(sizes, "root").join(classes.select(F.col("rep").alias("id"), "copies", "c1", "c2"), "id")
-    texts = docs.select(order_id().cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    found = texts.join(wanted, "id").select("id", "text", "root", "blocks", "copies", "c1", "c2")
+    wanted = groups.join(sizes, "root").join(classes.withColumnRenamed("rep", "id"), "id")
+    texts = docs.select(order_id().cast("long").alias("least"), text_hash(F.col("text")).alias("th"), F.col("text").cast("string").alias("text"))
+    found = texts.join(wanted, ["least", "th"]).select("id", "text", "root", "blocks", "copies", "c1", "c2")
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column("text")
             sets = list(shingle_sets(text, n))
             c1 = np.array([int(s.sum(dtype=U64).view(np.int64)) for s in sets], np.int64)
-            same = c1 == batch.column("c1").to_numpy()  # an id may repeat with another text
+            same = c1 == batch.column("c1").to_numpy()  # two texts may share a hash
             packed = pa.array([s.tobytes() for s in sets], pa.binary())
             kept = batch.select(["id", "root", "blocks", "copies"]).add_column(4, "shingles", packed)
             yield kept.filter(pa.array(same))
@@ -201,20 +202,29 @@ def jaccard_classes(
         "links",
     )
     links = verified.groupBy("rep").agg(F.sum("links").alias("links"))
-    roots = connected_components(verified.where("rep <> root"), "rep", "root")
+    roots = write_table(
+        connected_components(verified.where("rep <> root"), "rep", "root")
+        .withColumnRenamed("id", "rep")
+        .join(classes.select("rep", "least"), "rep"),
+        "roots",
+    )
+    first = roots.groupBy("root").agg(F.min("least").alias("class_id"))
     summary = (
         classes.join(links, "rep", "left")
-        .join(roots.withColumnRenamed("id", "rep"), "rep", "left")
+        .join(roots.join(first, "root").select("rep", "root", "class_id"), "rep", "left")
         .select(
             "c1",
             "c2",
-            F.col("rep").alias("text_class"),
-            F.coalesce("root", "rep").alias("class_id"),
+            F.col("least").alias("text_class"),
+            F.coalesce("root", "rep").alias("grp"),
+            F.coalesce("class_id", "least").alias("class_id"),
             (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         )
     )
-    return signed.select("id", "c1", "c2", "n_shingles").join(summary, ["c1", "c2"], "left").select(
+    return signed.select("id", "th", "c1", "c2", "n_shingles").join(summary, ["c1", "c2"], "left").select(
         "id",
+        "th",
+        "grp",
         F.coalesce("text_class", "id").alias("text_class"),
         F.coalesce("class_id", "id").alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
@@ -222,12 +232,22 @@ def jaccard_classes(
     )
 
 
+def jaccard_classes(docs: DataFrame, **options) -> DataFrame:
+    """(id, text_class, class_id, n_links, n_shingles), one row a document.
+
+    ``text_class`` is the least id with the same shingle set, ``class_id`` the least id of the group that
+    links join, ``n_links`` the number of other documents at ``threshold`` or above.
+    """
+    return linked_rows(docs, **options).drop("th", "grp")
+
+
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one document of each near-duplicate group: the one of the least id, once."""
-    heads = jaccard_classes(docs, **options).where("id = class_id").select("id").distinct()
-    rows = docs.select(F.struct("*").alias("doc"), order_id().cast("long").alias("id"))
-    kept = rows.join(heads, "id", "left_semi").withColumn("th", F.xxhash64(F.coalesce("doc.text", F.lit(""))))
-    return kept.dropDuplicates(["id", "th"]).select("doc.*")
+    least = linked_rows(docs, **options).where("id = class_id").withColumn("own", F.when(F.col("grp").isNull(), F.struct("id", "th")))
+    # A group's least id may be that of several rows; a text without shingles is a group of its own.
+    heads = least.groupBy("grp", "own").agg(F.min("id").alias("id"), F.min("th").alias("th")).select("id", "th")
+    rows = docs.select(F.struct("*").alias("doc"), order_id().cast("long").alias("id"), text_hash(F.col("text")).alias("th"))
+    return rows.join(heads, ["id", "th"], "left_semi").dropDuplicates(["id", "th"]).select("doc.*")
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,6 +40,11 @@ def real_id(column: str) -> Column:
     return F.nullif(F.col(column), F.lit(LOWEST_ID))
 
 
+def text_hash(text: Column) -> Column:
+    """With its id, this names a row: ids may be null or repeat with other texts."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else; name a column, not a costly expression, as it is named four times."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(

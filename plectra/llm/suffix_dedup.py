@@ -18,7 +18,7 @@ is enough to sort the suffixes that start at such anchors: about one byte in 200
 5. Repeated starts go back to the documents and cover ``length`` bytes each.
 
 Defined results: a null or empty text has nothing to remove; texts shorter than ``length`` are kept whole;
-equal rows repeat each other; an id names one text; a null id is below every other; an empty table gives no
+equal rows repeat each other; ids may be null or repeat, as a row is named by its id and its text's hash; an empty table gives no
 rows; other columns are left out.
 """
 
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bytetext import U64, as_bytes, chunks, mix
-from .shared import order_id, real_id, table, write_table
+from .shared import order_id, real_id, table, text_hash, write_table
 
 LENGTH = 400
 GRAM = 16
@@ -41,7 +41,7 @@ PLACE_BITS = U64(26)
 SEGMENT = 1 << 22
 SORT_BYTES = 1 << 21
 
-ANCHORS = "id long, low long, high long, at long, lead binary, c1 long, c2 long"
+ANCHORS = "id long, th long, low long, high long, at long, lead binary, c1 long, c2 long"
 SAMPLED_A_BUCKET = 40
 HOT = 2000
 STRETCH = 24
@@ -109,8 +109,8 @@ def context_hash(buffer: memoryview, low: int, high: int, anchor: int, length: i
 def anchors(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            texts = batch.column(1)
+            ids, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            texts = batch.column(2)
             for start, stop in chunks(texts):
                 data, edges = as_bytes(texts.slice(start, stop - start))
                 buffer = memoryview(np.ascontiguousarray(data)).cast("B")
@@ -122,6 +122,7 @@ def anchors(docs: DataFrame, length: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(ids[start + owner]),
+                            pa.array(hashes[start + owner]),
                             pa.array(low - edges[owner]),
                             pa.array(high - edges[owner]),
                             pa.array(anchor - low),
@@ -129,7 +130,7 @@ def anchors(docs: DataFrame, length: int) -> DataFrame:
                             pa.array(c1),
                             pa.array(c2),
                         ],
-                        names=["id", "low", "high", "at", "lead", "c1", "c2"],
+                        names=["id", "th", "low", "high", "at", "lead", "c1", "c2"],
                     )
 
     return docs.mapInArrow(run, ANCHORS)
@@ -294,13 +295,17 @@ def hot_windows(contexts: DataFrame, length: int) -> DataFrame:
     return found.mapInArrow(run, SHARED)
 
 
+def named_texts(docs: DataFrame) -> DataFrame:
+    return docs.select(order_id().cast("long").alias("id"), text_hash(F.col("text")).alias("th"), F.col("text").cast("string").alias("text"))
+
+
 def repeated_starts(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """(id, lows, highs): runs of window starts whose ``length`` bytes start anywhere else too."""
-    narrow = docs.select(order_id().cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    """(id, th, lows, highs): runs of window starts whose ``length`` bytes start anywhere else too."""
+    narrow = named_texts(docs)
     placed = write_table(anchors(narrow, length), "anchors")
     contexts = write_table(
         placed.groupBy("lead", "c1", "c2").agg(
-            F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "low", "high", "at")).alias("place")
+            F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "th", "low", "high", "at")).alias("place")
         ),
         "contexts",
     )
@@ -318,7 +323,6 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Da
                 raw = (text.as_py() or "").encode()
                 for c1, c2, low, high, at in zip(*(x.as_py() for x in lists)):
                     context = raw[low : high + length]
-                    # An id may repeat with another text, where the place says nothing.
                     if context_hash(memoryview(context), 0, high - low, at, length) == (c1, c2):
                         out.append((c1, c2, at, high - low + 1, context))
             if out:
@@ -337,10 +341,10 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Da
         # A context found twice needs no sorting for itself, but others may share its windows.
         requests = (
             chosen.select("c1", "c2", "place.*")
-            .groupBy("id")
+            .groupBy("id", "th")
             .agg(*[F.collect_list(c).alias(c) for c in ("c1", "c2", "low", "high", "at")])
         )
-        return narrow.join(requests, "id").select("text", "c1", "c2", "low", "high", "at")
+        return narrow.join(requests, ["id", "th"]).select("text", "c1", "c2", "low", "high", "at")
 
     cold = contexts.join(hot_leads, "lead", "left_anti") if any_hot else contexts
     suffixes = fetched(cold.join(several, "lead")).mapInArrow(
@@ -360,11 +364,11 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Da
     partly = shared.join(single, ["c1", "c2"], "left_semi")
     found = whole.unionByName(partly)
     return (
-        placed.select("id", "low", "c1", "c2")
+        placed.select("id", "th", "low", "c1", "c2")
         .join(found, ["c1", "c2"])
-        .select("id", F.explode(F.arrays_zip("lows", "highs")).alias("r"), "low")
-        .select("id", (F.col("low") + F.col("r.lows")).alias("lows"), (F.col("low") + F.col("r.highs")).alias("highs"))
-        .groupBy("id")
+        .select("id", "th", F.explode(F.arrays_zip("lows", "highs")).alias("r"), "low")
+        .select("id", "th", (F.col("low") + F.col("r.lows")).alias("lows"), (F.col("low") + F.col("r.highs")).alias("highs"))
+        .groupBy("id", "th")
         .agg(F.collect_list("lows").alias("lows"), F.collect_list("highs").alias("highs"))
     )
 
@@ -372,7 +376,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Da
 def dedup_substrings(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): ``kept`` is the bytes that no repeated string covers."""
     starts = repeated_starts(docs, length, hot)
-    narrow = docs.select(order_id().cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    narrow = named_texts(docs)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -395,7 +399,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> D
                 [batch.column(0), *columns], names=["id", "n_bytes", "n_removed", "n_spans", "kept"]
             )
 
-    joined = narrow.join(starts, "id", "left").select("id", "text", "lows", "highs")
+    joined = narrow.join(starts, ["id", "th"], "left").select("id", "text", "lows", "highs")
     cleaned = joined.mapInArrow(remove, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return cleaned.select(real_id("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
 

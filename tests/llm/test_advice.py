@@ -6,7 +6,7 @@ import zlib
 
 import numpy as np
 
-from plectra.llm import packing, suffix_dedup
+from plectra.llm import decontaminate, ngram_join, packing, suffix_dedup
 
 
 def kept_bytes(texts, length):
@@ -63,3 +63,30 @@ def test_op9_added_tokens(spark):
         assert np.frombuffer(got[i].ids, "<u4").tolist() == ids
         assert (got[i].doc_tokens, got[i].ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
     assert 50256 in np.frombuffer(got[0].ids, "<u4")
+
+
+def test_rows_that_share_an_id(spark):
+    """Rows with a null id or one id are told apart by their texts."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    a, b, c, item = (" ".join(word() for _ in range(n)) for n in (150, 200, 90, 40))
+    near = lambda t: t + " tail"
+    texts = [(None, a), (None, near(a)), (None, b), (8, near(b)), (None, c), (None, "short one"), (9, c + " " + word()), (9, a + " x y"), (9, item), (None, item + " " + b[:500])]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+
+    got = {(r.doc_id, r.n_bytes): bytes(r.kept) for r in suffix_dedup.dedup_substrings(docs).collect()}
+    want = kept_bytes([t for _, t in texts], suffix_dedup.LENGTH)
+    assert got == {(i, len(t)): k for (i, t), k in zip(texts, want)}
+
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.split() for _, t in texts)]
+    near_by = [sum(len(x & y) >= 0.8 * len(x | y) for y in sets) - 1 for x in sets]
+    got = sorted((r.id, r.n_shingles, r.n_links) for r in ngram_join.jaccard_classes(docs).collect())
+    lowest = -(2**63)
+    assert got == sorted((lowest if i is None else i, len(x), n) for (i, _), x, n in zip(texts, sets, near_by))
+    kept = sorted(len(r.text) for r in ngram_join.one_of_each(docs).collect())
+    groups = [{0, 1, 7}, {2, 3}, {4, 6}, {5}, {8}, {9}]
+    assert len(kept) == len(groups)
+    assert all(any(len(texts[k][1]) in kept for k in g) for g in groups)
+
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert sorted(r.text for r in decontaminate.decontaminate(docs, items).collect()) == sorted(t for _, t in texts if item not in t)
