@@ -1,6 +1,6 @@
 """Benchmark decontamination with SimHash over item-sized windows.
 
-A window has as many words as a benchmark item.  Windows that hold a shingle of an item of their size are
+A window has as many words as a benchmark item; a text of fewer words is one window as a whole.  Windows that hold a shingle of an item of their size are
 fingerprinted (any other has similarity 0 to all of them); votes of a window are differences of running
 sums.  A multi-index of ``RADIUS + 1`` blocks finds every item fingerprint within the radius: so few
 differing bits leave a block alike.  Candidates are verified by exact similarity of weighted shingles, a
@@ -118,6 +118,14 @@ def matches(items: Items, hashes: np.ndarray, counts: np.ndarray, threshold: flo
             for size in np.unique(sizes):
                 those = np.unique(owner[sizes == size])
                 span = int(size) - n + 1
+                if last - first < size:
+                    # Shorter than the item: the whole text is the one window, verified without fingerprints.
+                    own = rolled[first : last - n + 1]
+                    for i in those if len(own) >= threshold * span - 1e-9 else ():
+                        value = items.similarity(own, i)
+                        if value >= threshold:
+                            yield int(t), items.ids[i], value, 0, last - first, 1
+                    continue
                 cover = np.unique(spot[sizes == size])
                 starts = np.unique((cover[:, None] - np.arange(span)[None, :]).ravel())
                 starts = starts[(starts >= first) & (starts + size <= last)]

@@ -90,3 +90,22 @@ def test_rows_that_share_an_id(spark):
 
     items = spark.createDataFrame([(1, item)], "item_id long, text string")
     assert sorted(r.text for r in decontaminate.decontaminate(docs, items).collect()) == sorted(t for _, t in texts if item not in t)
+
+
+def test_op10_short_documents(spark):
+    """A document shorter than the item is compared as a whole, as brute force does."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    item = [word() for _ in range(100)]
+    docs = [item[:-1], item[1:], item[:50] + item[51:], item[:85], item[10:], item[:80], item[:60], item[:3], item, ["x"] + item[:-2]]
+    table = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(item)), (2, "one two three")], "item_id long, text string")
+    grams = lambda w: collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+    theirs, want = grams(item), {}
+    for i, d in enumerate(docs):
+        own = grams(d)
+        value = (own & theirs).total() / (own | theirs).total()
+        if value >= 0.8:
+            want[i] = (1, value, 0, len(d), 1)
+    got = {r.doc_id: (r.item_id, r.similarity, r.start_word, r.n_words, r.n_windows) for r in decontaminate.find_leaks(table, items).collect()}
+    assert got == want and {0, 1, 2, 3} <= set(want) and 6 not in want
