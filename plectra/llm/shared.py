@@ -11,9 +11,12 @@ LOWEST_ID = -(2**63)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``.  Where that is unset, a temporary one in local mode only: on a cluster
+    each executor would write to its own disk."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "").split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="plectra-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

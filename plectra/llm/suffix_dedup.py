@@ -13,8 +13,8 @@ is enough to sort the suffixes that start at such anchors: about one byte in 200
    equal.  A bucket is sorted in pieces; the group of one leading gram is carried across a piece's boundary
    and splitters never part it, so every comparison is made.
 4. A leading gram of more than ``HOT`` contexts is bound to no task.  Windows whose anchors lie in one stretch of
-   ``STRETCH`` places share a core of ``length - STRETCH + 1`` bytes.  Cores are counted by 128-bit hash; only
-   windows of a core that several contexts have are hashed and counted themselves.
+   places share a core, and cover more bytes together.  Cores and covers are counted by 128-bit hash: a cover that
+   another context has is repeated, a core that none has is not, and any other stretch is halved, down to windows.
 5. Repeated starts go back to the documents and cover ``length`` bytes each.
 
 Defined results: a null or empty text has nothing to remove; texts shorter than ``length`` are kept whole;
@@ -44,11 +44,10 @@ SORT_BYTES = 1 << 21
 ANCHORS = "id long, th long, low long, high long, at long, lead binary, c1 long, c2 long"
 SAMPLED_A_BUCKET = 40
 HOT = 2000
-STRETCH = 24
 SALTS = 32
 
 CONTEXTS = "c1 long, c2 long, at long, n_starts long, context binary"
-HASHED = "c1 long, c2 long, place long, h1 long, h2 long"
+HASHED = "c1 long, c2 long, place long, whole long, low long, high long, h1 long, h2 long"
 SHARED = "c1 long, c2 long, lows array<long>, highs array<long>"
 
 
@@ -218,81 +217,79 @@ def shared_windows(suffixes: DataFrame, buckets: int, length: int) -> DataFrame:
     return dealt.sortWithinPartitions("lead", "c1", "c2").mapInArrow(run, SHARED)
 
 
-def hash_rows(rows: list[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
-    """(c1, c2, place, h1, h2) from (c1, c2, place, bytes)."""
-    if rows:
-        c1, c2, place, raw = zip(*rows)
-        hashed = np.frombuffer(b"".join(xxhash.xxh3_128_digest(r) for r in raw), "<i8").reshape(-1, 2)
-        columns = [pa.array(x, pa.int64()) for x in (c1, c2, place)] + [pa.array(hashed[:, 0]), pa.array(hashed[:, 1])]
-        yield pa.RecordBatch.from_arrays(columns, names=["c1", "c2", "place", "h1", "h2"])
+def stretch_hashes(contexts: DataFrame, width: int, length: int) -> DataFrame:
+    """Two rows a context and wanted stretch of ``width`` anchor places: a hash of the core, which each of its windows
+    holds, and one of all that its windows cover.  At width 1 both are the window, and one row serves.
 
-
-def cores(contexts: DataFrame, length: int) -> DataFrame:
-    """A row a context and stretch of anchor places; ``place`` is the stretch."""
-    width = min(STRETCH, length)
+    contexts: (c1, c2, at, n_starts, context, places)
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 500):
+            for first in range(0, batch.num_rows, 500):
                 rows = []
-                for c1, c2, at, n, raw in zip(*(batch.slice(low, 500).column(i).to_pylist() for i in range(5))):
-                    for k in range((at - n + 1) // width, at // width + 1):
+                for c1, c2, at, n, raw, places in zip(*(batch.slice(first, 500).column(i).to_pylist() for i in range(6))):
+                    for k in places:
+                        low, high = max(0, at - (k + 1) * width + 1), min(n - 1, at - k * width)
+                        if low > high:
+                            continue
                         start = at - k * width
-                        # Only a stretch's windows that the context has matter, and each holds the core.
-                        rows.append((c1, c2, k, k.to_bytes(4, "little") + raw[start : start + length - width + 1]))
-                yield from hash_rows(rows)
-
-    return contexts.mapInArrow(run, HASHED)
-
-
-def core_windows(contexts: DataFrame, length: int) -> DataFrame:
-    """A row a window of the ``stretches`` of each context; ``place`` is the window's start."""
-    width = min(STRETCH, length)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low in range(0, batch.num_rows, 100):
-                rows = []
-                for c1, c2, at, n, raw, ks in zip(*(batch.slice(low, 100).column(i).to_pylist() for i in range(6))):
-                    for k in ks:
-                        for start in range(max(0, at - k * width - width + 1), min(n - 1, at - k * width) + 1):
-                            rows.append((c1, c2, start, raw[start : start + length]))
-                yield from hash_rows(rows)
+                        named = k.to_bytes(4, "little") + (at - high).to_bytes(4, "little") + (at - low).to_bytes(4, "little")
+                        rows.append((c1, c2, k, 1, low, high, b"w" + named + raw[low : high + length]))
+                        if width > 1:
+                            rows.append((c1, c2, k, 0, low, high, b"c" + named[:4] + raw[start : start + length - width + 1]))
+                if rows:
+                    *columns, bodies = zip(*rows)
+                    hashed = np.frombuffer(b"".join(xxhash.xxh3_128_digest(r) for r in bodies), "<i8").reshape(-1, 2)
+                    arrays = [pa.array(x, pa.int64()) for x in columns] + [pa.array(hashed[:, 0]), pa.array(hashed[:, 1])]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["c1", "c2", "place", "whole", "low", "high", "h1", "h2"])
 
     return contexts.mapInArrow(run, HASHED)
 
 
 def held_by_several(rows: DataFrame) -> DataFrame:
-    """The (c1, c2, place) whose hash another context has too; a common hash is dealt over ``SALTS`` tasks."""
+    """The rows whose hash another context has too, ``first`` marking one of each hash; a common hash is dealt over
+    ``SALTS`` tasks."""
     rows = rows.withColumn("salt", F.pmod("c1", F.lit(SALTS)))
     ends = [f(c).alias(f.__name__ + c) for c in ("c1", "c2") for f in (F.min, F.max)]
     part = rows.groupBy("h1", "h2", "salt").agg(*ends)
     both = [F.min(f"min{c}").alias(f"min{c}") for c in ("c1", "c2")] + [F.max(f"max{c}").alias(f"max{c}") for c in ("c1", "c2")]
     several = part.groupBy("h1", "h2").agg(*both, F.collect_list("salt").alias("salts"))
-    several = several.where("minc1 <> maxc1 or minc2 <> maxc2").select("h1", "h2", F.explode("salts").alias("salt"))
-    return rows.join(several, ["h1", "h2", "salt"], "left_semi").select("c1", "c2", "place")
+    several = several.where("minc1 <> maxc1 or minc2 <> maxc2").select("h1", "h2", "minc1", F.explode("salts").alias("salt"))
+    return rows.join(several, ["h1", "h2", "salt"]).withColumn("first", F.col("c1") == F.col("minc1")).drop("h1", "h2", "salt", "minc1")
 
 
 def hot_windows(contexts: DataFrame, length: int) -> DataFrame:
-    """(c1, c2, lows, highs), as ``shared_windows``, from contexts of leads with any number of contexts."""
-    wanted = held_by_several(cores(contexts, length)).groupBy("c1", "c2").agg(F.collect_set("place").alias("stretches"))
-    chosen = contexts.join(wanted, ["c1", "c2"]).select("c1", "c2", "at", "n_starts", "context", "stretches")
-    windows = write_table(core_windows(chosen, length), "windows")
-    found = held_by_several(windows).groupBy("c1", "c2").agg(F.collect_set("place").alias("places"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lows, highs = [], []
-            for places in batch.column(2).to_pylist():
-                at = np.sort(np.array(places))
-                new = np.r_[True, np.diff(at) != 1]
-                lows.append(at[new].tolist())
-                highs.append(at[np.r_[new[1:], True]].tolist())
-            lists = pa.list_(pa.int64())
-            columns = [batch.column(0), batch.column(1), pa.array(lows, lists), pa.array(highs, lists)]
-            yield pa.RecordBatch.from_arrays(columns, names=["c1", "c2", "lows", "highs"])
+    """(c1, c2, lows, highs), as ``shared_windows``, from contexts of leads with any number of contexts.
 
-    return found.mapInArrow(run, SHARED)
+    A stretch whose whole cover another context has is repeated; one whose core none has is not; any other is
+    halved, down to single windows.  One context of each repeated cover is halved too, as others may share some of
+    its windows.  A passage's edge lies in one half only, so few stretches go on.
+    """
+    width = 1 << max(0, (length // 2).bit_length() - 1)
+    places = F.sequence(
+        F.floor((F.col("at") - F.col("n_starts") + 1) / width).cast("int"), F.floor(F.col("at") / width).cast("int")
+    )
+    wanted, found = contexts.withColumn("places", places), None
+    while True:
+        hashed = write_table(stretch_hashes(wanted, width, length), "stretches")
+        held = held_by_several(hashed).groupBy("c1", "c2", "place").agg(
+            F.max("whole").alias("whole"),
+            F.min("whole").alias("least"),
+            F.max((F.col("whole") == 1) & F.col("first")).alias("first"),
+            F.max("low").alias("low"),
+            F.max("high").alias("high"),
+        )
+        held = write_table(held, "held")
+        runs = held.where("whole = 1").select("c1", "c2", "low", "high")
+        found = runs if found is None else found.unionByName(runs)
+        if width == 1:
+            break
+        width //= 2
+        halves = F.explode(F.array(F.col("place") * 2, F.col("place") * 2 + 1)).alias("place")
+        rest = held.where("least = 0 and (whole = 0 or first)").select("c1", "c2", halves).groupBy("c1", "c2").agg(F.collect_list(F.col("place").cast("int")).alias("places"))
+        wanted = contexts.join(rest, ["c1", "c2"]).select("c1", "c2", "at", "n_starts", "context", "places")
+    return found.groupBy("c1", "c2").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs"))
 
 
 def named_texts(docs: DataFrame) -> DataFrame:
@@ -358,7 +355,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Da
         "c1",
         "c2",
         F.array(F.lit(0).cast("long")).alias("lows"),
-        F.array((F.col("place.high") - F.col("place.low"))).alias("highs"),
+        F.array(F.col("place.high") - F.col("place.low")).alias("highs"),
     )
     single = contexts.where("n = 1").select("c1", "c2")
     partly = shared.join(single, ["c1", "c2"], "left_semi")
