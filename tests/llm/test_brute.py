@@ -63,6 +63,7 @@ def test_op3_edits_and_votes(spark, texts):
     edited, other = (np.mean([getattr(r, c) for r in got.values()]) for c in ("near_edited", "near_next"))
     assert edited > other + 0.15
     # The radius search counts what comparing all would.
+    assert simhash.RADIUS >= 16
     prints = [int(r.fingerprint, 16) for r in got.values()]
     for r in got.values():
         want = sum(bin(int(r.fingerprint, 16) ^ p).count("1") <= simhash.RADIUS for p in prints) - 1
@@ -121,36 +122,46 @@ def test_band_plan():
         assert 1 - (1 - t**rows) ** bands >= 0.999
 
 
-def test_op7_parse():
-    """Phrases of the lock-step parse against a plain longest-match parse of each stretch."""
-    model = language.Automata({"a": "the cat sat on the mat", "b": "le chat est assis"})
-    for text in ("the chat", "zzz the cat", "x" * 3000, "cat " * 900):
-        symbols, _ = model.encode(text)
-        for k, lang in enumerate(model.languages):
-            sample = model.encode({"a": "the cat sat on the mat", "b": "le chat est assis"}[lang])[0].tobytes()
-            count = 0
-            for low in range(0, len(symbols), language.STRETCH):
-                part = symbols[low : low + language.STRETCH].tobytes()
-                at = 0
-                while at < len(part):
-                    n = 1
-                    while at + n < len(part) and part[at : at + n + 1] in sample:
-                        n += 1
-                    at += n
-                    count += 1
-            rows = [symbols[low : low + language.STRETCH] for low in range(0, len(symbols), language.STRETCH)]
-            grid = np.zeros((len(rows), max(map(len, rows))), np.uint8)
-            for i, r in enumerate(rows):
-                grid[i, : len(r)] = r
-            sizes = np.array([len(r) for r in rows])
-            assert model.phrases(grid, sizes)[k].sum() == count
+@pytest.mark.parametrize("cells", [0, 1 << 25])
+def test_op7_parse(cells, monkeypatch):
+    """Phrases against a plain longest-match parse of the whole text, by either layout of the transitions."""
+    monkeypatch.setattr(language, "STRETCH", 16)
+    monkeypatch.setattr(language, "LANES", 8)
+    samples = {"a": "the cat sat on the mat " * 20, "b": "le chat est assis", "c": "кошка сидит на ковре", "d": "猫坐在垫子上"}
+    model = language.Automata(samples, cells)
+    texts = ["the chat", "zzz the cat", "x" * 300, "cat " * 200, "the cat sat on the mat " * 15, "кошка сидит, 猫坐在", ""]
+    plain = {k: model.encode(v)[0] for k, v in samples.items()}
+    coded = [model.encode(t)[0] for t in texts]
+    got = model.phrases(coded)
+    as_text = lambda symbols: "".join(map(chr, symbols))
+    for k, lang in enumerate(model.languages):
+        for i, symbols in enumerate(coded):
+            part, sample, at, count = as_text(symbols), as_text(plain[lang]), 0, 0
+            while at < len(part):
+                n = 1
+                while at + n < len(part) and part[at : at + n + 1] in sample:
+                    n += 1
+                at += n
+                count += 1
+            assert got[k, i] == count
+
+
+def test_op7_scripts(spark):
+    """Labelled languages in several scripts, more letters together than any one has."""
+    rng = np.random.default_rng(8)
+    ranges = {"latin": range(97, 123), "greek": range(0x3B1, 0x3CA), "han": range(0x4E00, 0x4E00 + 400), "hangul": range(0xAC00, 0xAC00 + 300)}
+    words = {k: ["".join(chr(c) for c in rng.choice(list(r), 4)) for _ in range(60)] for k, r in ranges.items()}
+    make = lambda k: " ".join(rng.choice(words[k], 40))
+    rows = [(i, make(k), k) for i, k in enumerate(list(ranges) * 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language.identify(docs, language.learn_samples(docs)).collect()}
+    assert all(got[i] == k for i, _, k in rows)
 
 
 def test_op9(spark, texts):
     from tokenizers import Tokenizer
 
     coder = Tokenizer.from_file(packing.default_vocabulary())
-    coder.encode_special_tokens = True
     rows = packing.op9_packing(spark, SF).collect()
     pieces = collections.defaultdict(list)
     for r in rows:

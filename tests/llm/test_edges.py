@@ -81,3 +81,24 @@ def test_lines(found):
 
 def test_leaks(found):
     assert sorted((r.doc_id is None, r.item_id is None, r.item_id or 0) for r in found["op10"]) == [(False, False, 3), (False, True, 0), (True, False, 0)]
+
+
+def stages(docs, labels, items):
+    yield quality.keep_good(docs, labels)
+    yield line_dedup.clean_lines(docs)
+    yield ngram_join.one_of_each(docs)
+    yield decontaminate.decontaminate(docs, items)
+
+
+def test_pipeline_forms_on_odd_rows(odd_docs, no_docs, labels, items):
+    """Each stage keeps the columns, clashing names too; of equal rows the n-gram join keeps one."""
+    n = odd_docs.count()
+    kept = [out for out in stages(odd_docs, labels, items)]
+    assert all(out.columns == odd_docs.columns for out in kept)
+    rows = [out.collect() for out in kept]
+    assert 0 < len(rows[0]) <= n and len(rows[1]) == n
+    assert sorted(r.doc_id for r in rows[2] if r.doc_id in (3, 4)) == [3]
+    assert sorted(r.doc_id for r in rows[2] if r.doc_id in (0, 1, 2)) == [0, 1, 2]  # texts without words are nobody's copies
+    assert {r.doc_id for r in rows[3]} == set(range(12)) - {8} - {9} | {None} and any(r.doc_id is None and r.text is None for r in rows[3])
+    for out in stages(no_docs, labels.limit(0), items.limit(0)):
+        assert out.columns == no_docs.columns and out.collect() == []
