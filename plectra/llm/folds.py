@@ -15,17 +15,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     """(doc_id, text, label): up to ``per_class`` documents of each label among those ``learn`` allows.
 
     The choice goes by a hash of the id.  Ids are chosen from the label table alone; at most
-    ``2 * per_class`` of them are broadcast to the documents, so no text is shuffled.
+    ``2 * per_class`` of them are broadcast to the documents, and only their texts are shuffled, so that rows which
+    repeat an id keep to the bound as well.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(learn & F.col("label").isin(0, 1)).distinct()
     chosen = None
     for value in (0, 1):
         part = known.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    return docs.join(F.broadcast(chosen), "doc_id")
+    return sample_of_each(docs.join(F.broadcast(chosen), "doc_id"), "label", per_class)
 
 
 def sample_of_each(docs: DataFrame, key: str, per_key: int) -> DataFrame:
     """Up to ``per_key`` rows of each key, by a hash of the id; Spark cuts the ranks before the shuffle too."""
-    order = Window.partitionBy(key).orderBy(F.xxhash64("doc_id"), "doc_id")
+    order = Window.partitionBy(key).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
     return docs.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_key).drop("_rank")

@@ -3,8 +3,9 @@
 Each step of a window is a word.  Its input is a learned vector of the hashed word beside the mean of learned
 vectors of its hashed character n-grams.  Two gated recurrent layers read the window in both directions;
 attention pools their states into one logit.  A document is scored by the greatest logit over all
-overlapping windows (``WINDOW`` words, every ``STRIDE``).  Training sees documents only: each step follows the
-window that scores highest, after some passes over all windows of the shortest ones.
+overlapping windows (``WINDOW`` words, every ``STRIDE``).  Training sees documents only: the first passes draw up to
+``DRAWN`` windows of each document at random, anew in each pass; each later pass follows the window of all that scores
+highest as the pass begins.
 
 Defined results: a null or empty text is one window without words, scored by the bias alone; without two labels
 to learn from every score is 0.5; ids may repeat or be null; other columns are left out.
@@ -27,8 +28,8 @@ WINDOW, STRIDE = 48, 24
 WORD_BUCKETS, GRAM_BITS = 4096, 14
 GRAMS = (3, 6)
 DIM, HIDDEN = 8, 10
-PER_CLASS = 1000
-LONGEST_LEARNT = 2500
+PER_CLASS = 500
+DRAWN = 6
 EPOCHS = 20
 EARLY = 10
 LANES = 4096
@@ -213,31 +214,30 @@ class Network:
         return part, x, small, self.forward(self.pre(x), small, size, cache)
 
     def fit(self, types: Types, labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.02, seed: int = 9) -> None:
-        """Momentum steps on the logistic loss of each document's highest window; at first, of all windows of
-        short ones.  A step's size is set for each array as a whole, so that rare words move little."""
+        """Momentum steps on the logistic loss of each document's highest window; at first, of drawn windows.
+        A step's size is set for each array as a whole, so that rare words move little."""
         rng = np.random.default_rng(seed)
         text, start, size = windows_of(types.counts)
-        first_of = np.searchsorted(text, np.arange(len(labels) + 1))
-        per_text = np.diff(first_of)
         weight_of = np.where(labels == 1, 0.5 / labels.sum(), 0.5 / (1 - labels).sum()) * len(labels)
         momentum = {k: np.zeros_like(v) for k, v in self.p.items()}
         square = dict.fromkeys(self.p, 0.0)
         step = 0
         for epoch in range(epochs):
             early = epoch < EARLY
-            docs = rng.permutation(np.flatnonzero(per_text <= 6) if early else np.arange(len(labels)))
+            rank = np.lexsort((rng.random(len(text)) if early else -self.logits(types)[1], text))
+            first_of = np.searchsorted(text, np.arange(len(labels) + 1))
+            place = np.arange(len(text)) - first_of[text]
+            picked = rank[place < (DRAWN if early else 1)]
+            edges = np.searchsorted(text[picked], np.arange(len(labels) + 1))
+            per_text = np.diff(edges)
+            docs = rng.permutation(len(labels))
             for at in range(0, len(docs), 64):
                 part = docs[at : at + 64]
-                chosen = np.concatenate([np.arange(first_of[i], first_of[i + 1]) for i in part])
-                if not early:
-                    chosen = chosen[np.argsort(-size[chosen], kind="stable")]
-                    logit = self.run(types, start[chosen], size[chosen])[3]
-                    rank = np.lexsort((-logit, text[chosen]))
-                    chosen = chosen[rank[np.r_[True, np.diff(text[chosen][rank]) != 0]]]
+                chosen = picked[np.concatenate([np.arange(edges[i], edges[i + 1]) for i in part])]
                 chosen = chosen[np.argsort(-size[chosen], kind="stable")]
                 if size[chosen].max(initial=0) == 0:
                     continue
-                share = 1 / per_text[text[chosen]] if early else 1
+                share = 1 / per_text[text[chosen]]
                 cache: dict = {}
                 used, x, ids, logit = self.run(types, start[chosen], size[chosen], cache, rng.random(len(types.bucket)) < 0.5)
                 error = (sigmoid(logit) - labels[text[chosen]]) * weight_of[text[chosen]] * share / len(part)
@@ -257,10 +257,10 @@ def grid(types: Types, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return types.of_word[np.minimum(at, len(types.of_word) - 1)] if len(types.of_word) else np.zeros_like(at)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, longest: int = LONGEST_LEARNT) -> Network | None:
-    """Learns from up to ``per_class`` documents of each label; of these, from those of at most ``longest`` characters."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Network | None:
+    """Learns from the whole texts of up to ``per_class`` documents of each label."""
     learn = fold("doc_id", FOLDS) != HELD_OUT
-    narrow = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.char_length("text") <= longest)
+    narrow = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = labelled_sample(narrow, labels, "toxic", learn, per_class).select("doc_id", "text", "label").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["label"], r["text"]))
     if len({r["label"] for r in rows}) < 2:
