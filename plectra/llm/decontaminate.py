@@ -45,6 +45,12 @@ def signed_bits(values: np.ndarray) -> np.ndarray:
     return np.unpackbits(pair.view(np.uint8), axis=1).astype(np.int16) * 2 - 1
 
 
+def block_keys(prints: np.ndarray) -> np.ndarray:
+    """The key of each block of each fingerprint, with the block's number."""
+    blocks = np.array_split(np.arange(BITS), RADIUS + 1)
+    return np.stack([(prints[:, b] @ (1 << np.arange(len(b)))) * len(blocks) + k for k, b in enumerate(blocks)], axis=1)
+
+
 class Items:
     """A shard of the benchmark: shingles, fingerprints by size and their block index."""
 
@@ -70,18 +76,27 @@ class Items:
             owner = np.repeat(who, [len(self.counted[i][0]) for i in who])
             order = np.argsort(value, kind="stable")
             self.known[n], self.owners[n] = value[order], owner[order]
-        self.blocks = np.array_split(np.arange(BITS), RADIUS + 1)
-
-    def within(self, prints: np.ndarray, items: np.ndarray) -> np.ndarray:
-        """(windows, items) whose fingerprints lie within the radius, by the block index."""
-        theirs = np.stack([self.prints[i] for i in items])
-        met = np.zeros((len(prints), len(items)), bool)
-        for block in self.blocks:
-            weights = 1 << np.arange(len(block))
-            met |= (prints[:, block] @ weights)[:, None] == (theirs[:, block] @ weights)[None, :]
-        window, item = np.nonzero(met)
+        self.index = {size: self.indexed(np.flatnonzero(np.array(self.sizes) == size)) for size in set(self.sizes)}
+
+    def indexed(self, items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(fingerprints, block keys in order, which has each, items) of the items of one size."""
+        prints = np.stack([self.prints[i] for i in items])
+        keys = block_keys(prints).ravel()
+        order = np.argsort(keys, kind="stable")
+        return prints, keys[order], order // (RADIUS + 1), items
+
+    def within(self, prints: np.ndarray, size: int) -> np.ndarray:
+        """(windows, items) whose fingerprints lie within the radius: each block's key is looked up in the index."""
+        theirs, keys, holder, items = self.index[size]
+        asked = block_keys(prints).ravel()
+        low, high = np.searchsorted(keys, asked, "left"), np.searchsorted(keys, asked, "right")
+        found = np.flatnonzero(high > low)
+        n = (high - low)[found]
+        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[found], n)
+        pair = np.unique(np.repeat(found // (RADIUS + 1), n) * len(items) + holder[place])
+        window, item = pair // len(items), pair % len(items)
         near = (prints[window] != theirs[item]).sum(axis=1) <= RADIUS
-        return np.stack([window[near], item[near]], axis=1)
+        return np.stack([window[near], items[item[near]]], axis=1)
 
     def similarity(self, values: np.ndarray, item: int) -> float:
         own, n = np.unique(values, return_counts=True)
@@ -137,8 +152,8 @@ def matches(items: Items, hashes: np.ndarray, counts: np.ndarray, threshold: flo
                     total = np.zeros((part[-1] + span - base + 1, BITS), np.int32)
                     np.cumsum(signed_bits(rolled[base : part[-1] + span]), axis=0, out=total[1:])
                     prints = total[part - base + span] - total[part - base] > 0
-                    for w, i in items.within(prints, those):
-                        item, s = int(those[i]), int(part[w])
+                    for w, i in items.within(prints, int(size)):
+                        item, s = int(i), int(part[w])
                         value = items.similarity(rolled[s : s + span], item)
                         if value >= threshold:
                             seen = best.setdefault(item, [value, s, 0])
