@@ -200,7 +200,9 @@ def pack(
     """One row a piece with its sequence and offset.  ``bundle`` bounds the pieces that meet in one task."""
     pieces = write_table(tokenize_pieces(docs, vocabulary, window, piece), "pieces")
     bundles = max(1, -(-pieces.count() // bundle))
-    dealt = pieces.withColumn("bundle", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(bundles)))
+    # The row's own number in the written table parts repeated rows.
+    own = F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id())
+    dealt = pieces.withColumn("bundle", F.pmod(own, F.lit(bundles)))
 
     def place(rows: pa.Table) -> pa.Table:
         return place_bundle(rows, window)
