@@ -3,7 +3,8 @@
 Every rolling k-gram of a document's words is joined to the templates' k-grams.  A hit votes for the
 diagonal (document position less template position).  A diagonal with every vote of its template is an
 exact place; neighbouring diagonals, which words put in or left out pull apart, are merged, and a merged
-span is verified by the share of the template's k-grams that it holds.
+span is verified by the share of the template's k-grams that it holds.  A template's k-grams are bits, so a diagonal
+and a span have a fixed size, however often a phrase is repeated.
 
 Defined results: a null text is empty; a row is a document, and repeated rows give equal results; ids may
 be null; without labels the label strings are empty; other columns are left out.
@@ -28,8 +29,37 @@ BASE_PHRASES = [
     ("cc-by-nc", "cc by nc"),
 ]
 
-# Notices of public licences.
+# Whole notices of public licences, and the short forms by which texts refer to them.
 NOTICES = [
+    ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to
+whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this
+permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS
+IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY
+CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN
+CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED
+"AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL
+DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE
+OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("apache-2", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
+compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless
+required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS"
+BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language
+governing permissions and limitations under the License."""),
+    ("gpl", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General
+Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
+version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""),
+    ("unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
+publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any
+purpose, commercial or non-commercial, and by any means."""),
+    ("mpl-2", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL
+was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("apache-2", "you may not use this file except in compliance with the License"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
@@ -79,10 +109,14 @@ def license_spans(docs: DataFrame, base: list = BASE_PHRASES, notices: list = NO
     rolling = grams(rows, ["id", "th"], "words").withColumn("gram", F.xxhash64("a", "b", "c"))
     known = known.withColumn("gram", F.xxhash64("a", "b", "c"))
     hits = rolling.join(known, ["gram", "a", "b", "c"])
+    marks = [f"m{i}" for i in range(1 + max(len(text.split()) for _, text in [*base, *notices]) // 64)]
+    own_bit = F.expr("shiftleft(1L, t_at % 64)")
+    bits = [F.bit_or(F.when(F.floor(F.col("t_at") / 64) == i, own_bit).otherwise(F.lit(0).cast("long"))).alias(m) for i, m in enumerate(marks)]
+    held = lambda: sum((F.bit_count(m) for m in marks[1:]), F.bit_count(marks[0]))
     diagonals = hits.groupBy("id", "th", "tid", "label", "base", "n_grams", (F.col("at") - F.col("t_at")).alias("diagonal")).agg(
-        F.collect_set("t_at").alias("matched"), F.min("at").alias("start"), (F.max("at") + GRAM).alias("stop")
+        *bits, F.min("at").alias("start"), (F.max("at") + GRAM).alias("stop")
     )
-    diagonals = diagonals.withColumn("exact", F.size("matched") == F.col("n_grams"))
+    diagonals = diagonals.withColumn("exact", held() == F.col("n_grams"))
     order = Window.partitionBy("id", "th", "tid").orderBy("diagonal")
     gap = F.col("diagonal") - F.lag("diagonal").over(order)
     island = F.sum(F.when(gap <= slack, 0).otherwise(1)).over(order)
@@ -95,10 +129,10 @@ def license_spans(docs: DataFrame, base: list = BASE_PHRASES, notices: list = NO
             F.max(F.when(F.col("exact"), F.col("start"))).alias("last_exact"),
             F.min("start").alias("start"),
             F.max("stop").alias("stop"),
-            F.size(F.array_distinct(F.flatten(F.collect_list("matched")))).alias("covered"),
+            *[F.bit_or(m).alias(m) for m in marks],
         )
     )
-    return spans.withColumn("coverage", F.col("covered") / F.col("n_grams")).drop("island", "n_grams", "covered").withColumn(
+    return spans.withColumn("coverage", held() / F.col("n_grams")).drop("island", "n_grams", *marks).withColumn(
         "accepted", F.col("coverage") >= share
     )
 
