@@ -26,10 +26,18 @@ def bases_of(mask: Column) -> Column:
 
 
 def expand(df: DataFrame, keys: list[str], seq: str, budget: int) -> DataFrame:
-    """(keys, variant, word): the exact words of sequences within the budget, from rank 0."""
-    sized = df.select(*keys, masks(F.col(seq)).alias("domains"), cardinality(F.col(seq)).alias("size")).where(F.col("size") <= budget)
-    ranked = sized.withColumn("variant", F.explode(F.sequence(F.lit(0), F.col("size").cast("int") - 1)))
-    return ranked.select(*keys, "variant", unrank(F.col("domains"), F.col("variant")).alias("word"))
+    """(keys, status, variant, word): the exact words of each sequence, from rank 0; one over the budget gives one row
+    with status ``over_budget`` and no word."""
+    sized = df.select(*keys, masks(F.col(seq)).alias("domains"), cardinality(F.col(seq)).alias("size"))
+    fits = F.col("size") <= budget
+    last = F.when(fits, F.col("size")).otherwise(1).cast("int") - 1
+    ranked = sized.withColumn("ok", fits).withColumn("variant", F.explode(F.sequence(F.lit(0), last)))
+    return ranked.select(
+        *keys,
+        F.when(F.col("ok"), "expanded").otherwise("over_budget").alias("status"),
+        F.when(F.col("ok"), F.col("variant")).alias("variant"),
+        F.when(F.col("ok"), unrank(F.col("domains"), F.col("variant"))).alias("word"),
+    )
 
 
 def words_of(spark: SparkSession, size: int) -> DataFrame:
@@ -56,8 +64,21 @@ def hamming(left: Column, right: Column) -> Column:
 
 
 def seeded_order(df: DataFrame, word: str, seed: str) -> DataFrame:
-    """Distance of each word's start to the seed; ordered by (distance, word)."""
-    return df.withColumn("distance", hamming(F.substring(word, 1, len(seed)), F.lit(seed)))
+    """Distance of each word's start to the seed, and the word's rank by (distance, word)."""
+    away = df.withColumn("distance", hamming(F.substring(word, 1, len(seed)), F.lit(seed)))
+    keyed = away.withColumn("_key", F.concat(F.lpad(F.col("distance").cast("string"), 4, "0"), word))
+    return global_rank(keyed, "_key", 8).drop("_key")
+
+
+def member_at(df: DataFrame, word: str, ranks: DataFrame) -> DataFrame:
+    """The words at the asked ranks (column ``rank``) of the set in word order; a rank past the end has no word."""
+    return ranks.join(global_rank(df, word), "rank", "left")
+
+
+def rank_parts(df: DataFrame, word: str, low: int, high: int, parts: int) -> DataFrame:
+    """The words of a rank window [low, high), dealt to parts by rank modulo their number."""
+    ranked = global_rank(df, word).where((F.col("rank") >= low) & (F.col("rank") < high))
+    return ranked.withColumn("part", F.col("rank") % parts)
 
 
 def grid(spark: SparkSession, sizes: list[int]) -> DataFrame:
@@ -78,18 +99,15 @@ def grid(spark: SparkSession, sizes: list[int]) -> DataFrame:
 def interleave(df: DataFrame, population: str, member: str) -> DataFrame:
     """Round-robin: first the first member of each population, then the second of each.
 
-    The rank is counted from the populations' sizes: before member m of p come min(m, size) of each
-    population, and one of each earlier population that is longer than m.
+    Rows are counted by turn: a turn starts after all rows of the turns before it, and within a turn populations
+    follow in order.
     """
-    sizes = df.groupBy(population).agg(F.count(F.lit(1)).alias("size"))
     numbered = df.withColumn("turn", F.row_number().over(Window.partitionBy(population).orderBy(member)) - 1)
-    all_sizes = F.broadcast(sizes.agg(F.collect_list(F.struct(population, "size")).alias("sizes")))  # one entry a population
-    before = F.aggregate(
-        "sizes",
-        F.lit(0).cast("long"),
-        lambda n, s: n + F.least(s["size"], F.col("turn").cast("long")) + ((s[population] < F.col(population)) & (s["size"] > F.col("turn"))).cast("long"),
-    )
-    return numbered.crossJoin(all_sizes).withColumn("rank", before).drop("sizes", "turn")
+    sizes = numbered.groupBy("turn").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)  # one row a turn
+    starts = sizes.select("turn", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("turn").orderBy(population)
+    return numbered.join(starts, "turn").withColumn("rank", F.col("base") + F.row_number().over(inside) - 1).drop("turn", "base")
 
 
 def subsets(df: DataFrame, group: str, item: str, width: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.dna import masks, reverse_complement
+from .enumerate import global_rank
+from .scan import windows
 
 
 def oriented_nick(motif: Column, native: Column, cut: Column, target: Column) -> Column:
@@ -78,13 +80,15 @@ def effective_ranges(ranges: DataFrame, key: str) -> DataFrame:
 
 
 def preferred_first(words: DataFrame, preferred: DataFrame, word: str) -> DataFrame:
-    """``place``: preferred words in order, then the rest in order; the word's own rank is kept beside it."""
-    marked = words.join(preferred.select(F.col(word)).distinct().withColumn("_p", F.lit(0)), word, "left")
-    return marked.withColumn("tier", F.coalesce("_p", F.lit(1))).drop("_p")
+    """``place``: preferred words in order, then the rest in order; ``tier`` tells which.  A preferred word that is
+    no word of the set is an error of its own row: tier -1, no place."""
+    marked = words.withColumn("_w", F.lit(1)).join(preferred.select(F.col(word)).distinct().withColumn("_p", F.lit(0)), word, "full")
+    marked = marked.withColumn("tier", F.when(F.col("_w").isNull(), -1).otherwise(F.coalesce("_p", F.lit(1)))).drop("_w", "_p")
+    ranked = global_rank(marked.where("tier >= 0").withColumn("_key", F.concat(F.col("tier").cast("string"), word)), "_key", 5)
+    absent = marked.where("tier < 0").select(word, "tier", F.lit(None).cast("long").alias("place"))
+    return ranked.select(word, "tier", F.col("rank").cast("long").alias("place")).unionByName(absent)
 
 
 def word_occurrences(df: DataFrame, keys: list[str], seq: str, word: str) -> DataFrame:
     """Overlapping places of a literal word."""
-    n = len(word)
-    starts = F.filter(F.sequence(F.lit(0), F.length(seq) - n), lambda i: F.substring(F.col(seq), i + 1, F.lit(n)) == word)
-    return df.where(F.length(seq) >= n).select(*keys, F.explode(starts).alias("start"))
+    return windows(df, keys, seq, [len(word)], word).where(F.col("word") == word).select(*keys, "start")

@@ -1,4 +1,8 @@
-"""Motif scans: windows of each motif length, hash-joined to the motifs' exact words."""
+"""Motif scans: windows of each motif length, hash-joined to the motifs' exact words.
+
+Sequences are cut into pieces that overlap by a window less one base, coarse ones first, so that work is linear in a
+sequence's length; a piece without any motif makes no window.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.dna import BASES, COMPLEMENTS, SYMBOLS
 
 WORD_BUDGET = 4096
+COARSE, FINE = 4096, 64
 
 
 def reverse_motif(motif: str) -> str:
@@ -39,20 +44,38 @@ def word_table(spark: SparkSession, motifs: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, "agent_id string, orientation string, word string, size int, first int, second int")
 
 
-def windows(df: DataFrame, keys: list[str], seq: str, sizes: list[int]) -> DataFrame:
-    """(keys, n_nt, size, start, word): every overlapping window of each size."""
-    n = F.length(seq)
-    long_enough = df.select(*keys, F.col(seq), n.alias("n_nt"), F.explode(F.array(*[F.lit(s) for s in sizes])).alias("size"))
-    placed = long_enough.where(F.col("n_nt") >= F.col("size")).withColumn("start", F.explode(F.sequence(F.lit(0), F.col("n_nt") - F.col("size"))))
-    return placed.select(*keys, "n_nt", "size", "start", F.substring(F.col(seq), F.col("start") + 1, F.col("size")).alias("word"))
+def motif_pattern(motifs: list[str]) -> str:
+    """A regular expression for any of the motifs, either way round."""
+    both = sorted({m for motif in motifs for m in (motif, reverse_motif(motif))})
+    return "|".join("".join(f"[{BASES[s]}]" for s in m) for m in both)
 
 
-def scan(df: DataFrame, keys: list[str], seq: str, words: DataFrame, sizes: list[int]) -> DataFrame:
-    """Sites (keys, agent_id, orientation, start, first, second) whose two boundaries lie in the sequence.
+def windows(df: DataFrame, keys: list[str], seq: str, sizes: list[int], pattern: str | None = None) -> DataFrame:
+    """(keys, n_nt, size, start, word): every overlapping window of each size, of pieces that hold ``pattern``."""
+    over = max(sizes) - 1
 
-    The word table is a stated catalogue whose size the word budget bounds, so it is broadcast.
-    """
-    hits = windows(df, keys, seq, sizes).join(F.broadcast(words), ["size", "word"])
+    def pieces(rows: DataFrame, text: str, starts: int, width: int) -> DataFrame:
+        at = F.sequence(F.lit(0), F.least(F.length(text), F.lit(starts)) - 1, F.lit(width))
+        cut = rows.where(F.length(text) > 0).select(*keys, "n_nt", "base", F.col(text).alias("whole"), F.explode(at).alias("_at"))
+        return cut.select(*keys, "n_nt", (F.col("base") + F.col("_at")).alias("base"), F.substring(F.col("whole"), F.col("_at") + 1, F.lit(width + over)).alias("piece"))
+
+    whole = df.select(*keys, F.length(seq).alias("n_nt"), F.lit(0).alias("base"), F.col(seq).alias("piece"))
+    fine = pieces(pieces(whole, "piece", 2**31 - 1, COARSE), "piece", COARSE, FINE)
+    if pattern is not None:
+        fine = fine.where(F.col("piece").rlike(pattern))
+    sized = fine.withColumn("size", F.explode(F.array(*[F.lit(s) for s in sizes]))).where(F.length("piece") >= F.col("size"))
+    placed = sized.withColumn("_o", F.explode(F.sequence(F.lit(0), F.least(F.lit(FINE - 1), F.length("piece") - F.col("size")))))
+    return placed.select(*keys, "n_nt", "size", (F.col("base") + F.col("_o")).alias("start"), F.substring(F.col("piece"), F.col("_o") + 1, F.col("size")).alias("word"))
+
+
+def distinct_words(df: DataFrame, seq: str, size: int) -> DataFrame:
+    """The distinct words of all windows of all sequences."""
+    return windows(df, [], seq, [size]).select("word").distinct()
+
+
+def scan(df: DataFrame, keys: list[str], seq: str, words: DataFrame, sizes: list[int], pattern: str) -> DataFrame:
+    """Sites (keys, agent_id, orientation, start, first, second) whose two boundaries lie in the sequence."""
+    hits = windows(df, keys, seq, sizes, pattern).join(words, ["size", "word"])
     at = lambda c: F.col("start") + F.col(c)
     inside: Column = (F.least(at("first"), at("second")) >= 0) & (F.greatest(at("first"), at("second")) <= F.col("n_nt"))
     return hits.where(inside).select(*keys, "agent_id", "orientation", "start", at("first").alias("first"), at("second").alias("second")).distinct()
@@ -64,15 +87,16 @@ def scan_nicks(df: DataFrame, keys: list[str], seq: str, agents: list[tuple]) ->
     words = word_table(spark, [(i, motif, cut, cut) for i, motif, _, cut in agents])
     native = spark.createDataFrame([(i, strand) for i, _, strand, _ in agents], "agent_id string, native string")
     other = F.when(F.col("native") == "top", "bottom").otherwise("top")
-    sites = scan(df, keys, seq, words, sorted({len(a[1]) for a in agents})).join(F.broadcast(native), "agent_id")
+    motifs = [a[1] for a in agents]
+    sites = scan(df, keys, seq, words, sorted({len(m) for m in motifs}), motif_pattern(motifs)).join(native, "agent_id")
     strand = F.when(F.col("orientation") == "forward", F.col("native")).otherwise(other)
     return sites.select(*keys, "agent_id", "orientation", "start", F.col("first").alias("nick_boundary"), strand.alias("nicked_strand"))
 
 
 def scan_releases(df: DataFrame, keys: list[str], seq: str, agents: list[tuple]) -> DataFrame:
     """Agents are (id, motif, top cut, bottom cut)."""
-    words = word_table(df.sparkSession, agents)
-    sites = scan(df, keys, seq, words, sorted({len(a[1]) for a in agents}))
+    motifs = [a[1] for a in agents]
+    sites = scan(df, keys, seq, word_table(df.sparkSession, agents), sorted({len(m) for m in motifs}), motif_pattern(motifs))
     return sites.select(*keys, "agent_id", "orientation", "start", F.col("first").alias("top_cut"), F.col("second").alias("bottom_cut"))
 
 

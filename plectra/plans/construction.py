@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import dna
-from ..operators import geometry, pool, similar
-from ..operators.scan import motif_words
+from ..operators import geometry, pool, scan, similar
 from .pools import ORACLE_SQL, QUERIES, SIMILAR_SQL, STEPS_SQL, preparations, steps
-from .sequences import query
+from .sequences import query, words_sql
 from .tables import DNA_SQL, document_dna, item_dna, table
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -128,24 +127,20 @@ def effective_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH w AS (SELECT DISTINCT substr({DNA_SQL}, 1, 6) AS word FROM documents WHERE length({DNA_SQL}) >= 6), p AS (SELECT DISTINCT substr({DNA_SQL}, 1, 6) AS word FROM benchmark WHERE length({DNA_SQL}) >= 6)
-SELECT word, CASE WHEN word IN (SELECT word FROM p) THEN 0 ELSE 1 END AS tier FROM w"""
+    f"""WITH w AS ({words_sql('documents', 6)}), p AS ({words_sql('benchmark', 6)}), t AS (SELECT word, CASE WHEN word IN (SELECT word FROM p) THEN 0 ELSE 1 END AS tier FROM w)
+SELECT word, tier, row_number() OVER (ORDER BY tier, word) - 1 AS place FROM t UNION ALL SELECT word, -1, NULL FROM p WHERE word NOT IN (SELECT word FROM w)"""
 )
 def context_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    six = lambda df: df.where(F.length("dna") >= 6).select(F.substring("dna", 1, 6).alias("word")).distinct()
-    return geometry.preferred_first(six(document_dna(spark, sf_dir)), six(item_dna(spark, sf_dir)), "word")
+    """Words of the documents with those of the items first; an item's word that no document has is told."""
+    every, first = (scan.distinct_words(df, "dna", 6) for df in (document_dna(spark, sf_dir), item_dna(spark, sf_dir)))
+    return geometry.preferred_first(every, first, "word")
 
 
-@query(
-    f"""WITH w AS (SELECT DISTINCT substr({DNA_SQL}, 1, 8) AS word FROM documents WHERE length({DNA_SQL}) >= 8)
-SELECT word FROM w WHERE NOT regexp_matches(word, 'GA[ACGT]TC|CC[AT]GG')"""
-)
+@query(f"WITH w AS ({words_sql('documents', 8)}) SELECT word FROM w WHERE NOT regexp_matches(word, 'GA[ACGT]TC|CC[AT]GG')")
 def site_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words without a listed site: an anti-join on their windows, with both motifs their own reverse."""
-    words = document_dna(spark, sf_dir).where(F.length("dna") >= 8).select(F.substring("dna", 1, 8).alias("word")).distinct()
-    sites = spark.createDataFrame([(w,) for m in ("GANTC", "CCWGG") for w in motif_words(m)], "site string")
-    windows = words.select("word", F.explode(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.substring(F.col("word"), i, F.lit(5)))).alias("site"))
-    return words.join(windows.join(F.broadcast(sites), "site").select("word"), "word", "left_anti")
+    """Words of all windows that hold no listed site, either way round."""
+    words = scan.distinct_words(document_dna(spark, sf_dir), "dna", 8)
+    return words.where(~F.col("word").rlike(scan.motif_pattern(["GANTC", "CCWGG"])))
 
 
 @query(
@@ -215,18 +210,19 @@ def prefix_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     SIMILAR_SQL
-    + """, g AS (SELECT a, b, distance, row_number() OVER (PARTITION BY a ORDER BY distance, b) AS place FROM d), k AS (SELECT a, distance AS bound FROM g WHERE place = 5)
-SELECT a, count(*) FILTER (distance < bound) AS strict, count(*) FILTER (distance = bound) AS ties, least(5, count(*) FILTER (distance <= bound)) / 5.0 AS recall FROM d JOIN k USING (a) GROUP BY a"""
+    + f""", w AS (SELECT DISTINCT item_id, substr(dna, start, 6) AS word FROM (SELECT item_id, dna, unnest(range(1, length(dna) - 4)) AS start FROM (SELECT item_id, {DNA_SQL} AS dna FROM benchmark) WHERE length(dna) >= 6)),
+n AS (SELECT x.item_id AS a, y.item_id AS b, count(*) AS n FROM w x JOIN w y USING (word) WHERE x.item_id % 50 = 0 AND x.item_id <> y.item_id GROUP BY ALL),
+p AS (SELECT a, b FROM n QUALIFY row_number() OVER (PARTITION BY a ORDER BY n DESC, b) <= 8),
+e AS (SELECT a, max(distance) AS bound, count(*) AS wanted FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY distance, b) AS place FROM d) WHERE place <= 5 GROUP BY a),
+m AS (SELECT * FROM (SELECT d.*, row_number() OVER (PARTITION BY d.a ORDER BY distance, d.b) AS place FROM d JOIN p USING (a, b)) WHERE place <= 5)
+SELECT e.a, wanted, count(*) FILTER (distance <= bound) AS found, count(*) FILTER (distance <= bound) / wanted AS recall FROM e LEFT JOIN m USING (a) GROUP BY e.a, wanted"""
 )
 def neighbor_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recall of the top five of each reference, ties at the boundary counting up to the five."""
+    """Eight candidates a reference by shared words, ranked exactly, against the exact five nearest."""
     rows = preparations(spark, sf_dir)
-    every = similar.distances(rows.where("item_id % 10 = 0"), rows, "item_id", ["n_nt", "gc"], "dna").select("a", "b", "distance")
-    order = Window.partitionBy("a").orderBy("distance", "b")
-    bound = every.withColumn("place", F.row_number().over(order)).where("place = 5").select("a", F.col("distance").alias("bound"))
-    joined = every.join(bound, "a")
-    strict, tie = (F.col("distance") < F.col("bound")).cast("long"), (F.col("distance") == F.col("bound")).cast("long")
-    return joined.groupBy("a").agg(F.sum(strict).alias("strict"), F.sum(tie).alias("ties"), (F.least(F.lit(5), F.sum(strict) + F.sum(tie)) / 5.0).cast("double").alias("recall"))
+    asked = rows.where("item_id % 50 = 0")
+    every = similar.distances(asked, rows, "item_id", ["n_nt", "gc"], "dna").select("a", "b", "distance")
+    return similar.audited(similar.proposed(asked, rows, "item_id", "dna", 6, 8), every, 5)
 
 
 @query(

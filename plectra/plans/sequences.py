@@ -144,10 +144,10 @@ e(item_id, seq, i, word) AS (
   UNION ALL
   SELECT e.item_id, e.seq, e.i + 1, e.word || b FROM (SELECT e.*, unnest(string_split(m.bases, '')) AS b FROM e JOIN m ON m.sym = substr(e.seq, e.i + 1, 1) WHERE e.i < length(e.seq)) e
 ), f AS (SELECT item_id, word, row_number() OVER (PARTITION BY item_id ORDER BY word) - 1 AS variant, count(*) OVER (PARTITION BY item_id) AS n FROM e WHERE i = length(seq))
-SELECT item_id, variant, word FROM f WHERE n <= 256"""
+SELECT item_id, 'expanded' AS status, variant, word FROM f WHERE n <= 256 UNION ALL SELECT DISTINCT item_id, 'over_budget', NULL, NULL FROM f WHERE n > 256"""
 )
 def iupac_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first symbolic run of each item, if it stands for at most 256 words."""
+    """The first symbolic run of each item; one that stands for more than 256 words is told as over the budget."""
     run = F.regexp_extract(F.upper(F.coalesce("text", F.lit(""))), "[ACGTRYSWKMBDHVN]+", 0)
     named = table(spark, sf_dir, "benchmark").select("item_id", run.alias("seq")).where("seq <> ''")
     return domains.expand(named, ["item_id"], "seq", 256)
@@ -301,7 +301,7 @@ def nick_placements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Placements near each sequence's middle; every placement gets all reasons against it."""
     words = scan.word_table(spark, [("nick", "AAGC", 1, 1)]).where("orientation = 'forward'")
     sequences = document_dna(spark, sf_dir)
-    hits = scan.windows(sequences, ["doc_id"], "dna", [4]).join(F.broadcast(words), ["size", "word"])
+    hits = scan.windows(sequences, ["doc_id"], "dna", [4], "AAGC").join(words, ["size", "word"])
     boundary = F.col("start") + F.col("first")
     placed = hits.select("doc_id", F.abs(boundary - F.floor(F.col("n_nt") / 2)).cast("long").alias("displacement"), boundary.alias("boundary"))
     blockers = F.array_compact(F.array(F.when(F.col("displacement") > 20, F.lit("far")), F.when(F.col("boundary") < 4, F.lit("short"))))
@@ -355,12 +355,17 @@ def window_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return domains.window_words(document_dna(spark, sf_dir), "dna", 2, 8)
 
 
+def words_sql(table_name: str, size: int) -> str:
+    """The distinct words of all windows of a table's sequences."""
+    return f"SELECT DISTINCT substr(dna, start, {size}) AS word FROM (SELECT dna, unnest(range(1, length(dna) - {size - 2})) AS start FROM (SELECT {DNA_SQL} AS dna FROM {table_name}) WHERE length(dna) >= {size})"
+
+
 def two_sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = document_dna(spark, sf_dir)
-    return domains.window_words(docs, "dna", 0, 4), domains.window_words(docs, "dna", 4, 8)
+    """Words of six bases in the documents and in the benchmark items."""
+    return scan.distinct_words(document_dna(spark, sf_dir), "dna", 6), scan.distinct_words(item_dna(spark, sf_dir), "dna", 6)
 
 
-SETS_SQL = f"WITH s AS (SELECT {DNA_SQL} AS dna FROM documents), a AS (SELECT DISTINCT substr(dna, 1, 4) AS word FROM s WHERE length(dna) >= 4), b AS (SELECT DISTINCT substr(dna, 5, 4) AS word FROM s WHERE length(dna) >= 8) "
+SETS_SQL = f"WITH a AS ({words_sql('documents', 6)}), b AS ({words_sql('benchmark', 6)}) "
 
 
 @query(SETS_SQL + "SELECT word FROM a UNION SELECT word FROM b")
@@ -387,11 +392,27 @@ def rank_unrank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH s AS (SELECT DISTINCT substr({DNA_SQL}, 1, 8) AS word FROM documents WHERE length({DNA_SQL}) >= 8)
-SELECT word, CAST((SELECT count(*) FROM range(1, 5) t(i) WHERE substr(word, i, 1) <> substr('ACGT', i, 1)) AS INTEGER) AS distance FROM s"""
+    f"""WITH s AS ({words_sql('documents', 8)}), d AS (SELECT word, CAST((SELECT count(*) FROM range(1, 5) t(i) WHERE substr(word, i, 1) <> substr('ACGT', i, 1)) AS INTEGER) AS distance FROM s)
+SELECT word, distance, row_number() OVER (ORDER BY distance, word) - 1 AS rank FROM d"""
 )
 def seeded_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return domains.seeded_order(domains.window_words(document_dna(spark, sf_dir), "dna", 0, 8), "word", "ACGT")
+    return domains.seeded_order(scan.distinct_words(document_dna(spark, sf_dir), "dna", 8), "word", "ACGT")
+
+
+@query(
+    f"""WITH s AS ({words_sql('documents', 8)}), r AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS rank FROM s), q AS (SELECT DISTINCT l_partkey AS rank FROM lineitem)
+SELECT rank, word FROM q LEFT JOIN r USING (rank)"""
+)
+def member_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words at the ranks that a table names."""
+    ranks = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("rank")).distinct()
+    return domains.member_at(scan.distinct_words(document_dna(spark, sf_dir), "dna", 8), "word", ranks)
+
+
+@query(f"WITH s AS ({words_sql('documents', 8)}), r AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS rank FROM s) SELECT word, rank, rank % 7 AS part FROM r WHERE rank >= 1000 AND rank < 9000")
+def rank_window_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A window of ranks, dealt to seven parts."""
+    return domains.rank_parts(scan.distinct_words(document_dna(spark, sf_dir), "dna", 8), "word", 1000, 9000, 7)
 
 
 @query("SELECT a AS c0, b AS c1, c AS c2, a + b + c AS total, row_number() OVER (ORDER BY a + b + c, a, b, c) - 1 AS rank FROM range(0, 6) x(a), range(0, 5) y(b), range(0, 4) z(c)")
@@ -405,12 +426,12 @@ def interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH b AS (SELECT DISTINCT p_type, p_brand AS x FROM part WHERE p_size = 7)
+    """WITH b AS (SELECT DISTINCT p_type, p_brand AS x FROM part)
 SELECT p_type, x AS members FROM b UNION ALL SELECT a.p_type, a.x || ',' || b.x FROM b a JOIN b USING (p_type) WHERE a.x < b.x
 UNION ALL SELECT a.p_type, a.x || ',' || b.x || ',' || c.x FROM b a JOIN b USING (p_type) JOIN b c USING (p_type) WHERE a.x < b.x AND b.x < c.x"""
 )
 def subset_enumeration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "part").where("p_size = 7").select("p_type", "p_brand")
+    items = table(spark, sf_dir, "part").select("p_type", "p_brand")
     return domains.subsets(items, "p_type", "p_brand", 3).select("p_type", F.array_join("members", ",").alias("members"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.dna import normalized
@@ -58,9 +60,10 @@ def write_csv(rows: DataFrame, path: str) -> None:
 
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, sha256, size) of the files in a folder, hashed where they are read."""
+    """(path, sha256, size) of the files in a folder, hashed where they are read; paths are relative to the folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    root = F.lit(re.sub(r"^[a-z0-9]+:/*", "/", folder.rstrip("/")) + "/")
+    name = F.element_at(F.split("path", F.concat(F.lit("\\Q"), root, F.lit("\\E")), 2), -1)
     return files.select(name.alias("path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"))
 
 
