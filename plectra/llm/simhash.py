@@ -127,27 +127,30 @@ def following(buckets: DataFrame) -> DataFrame:
 def with_next(rows: DataFrame, order: list[str], columns: list[str]) -> DataFrame:
     """``rows`` of buckets (part, step), each with ``next_<column>`` of the row after it."""
     inside = Window.partitionBy("part", "step").orderBy(*order)
-    ranked = rows.withColumns({"rn": F.row_number().over(inside)} | {f"in_{c}": F.lead(c).over(inside) for c in columns})
-    heads = ranked.where("rn = 1").select(F.col("part").alias("next_part"), F.col("step").alias("next_step"), *[F.col(c).alias(f"head_{c}") for c in columns])
+    follower = F.lead(F.struct(*columns)).over(inside)  # a struct, as a follower's id may be null
+    ranked = rows.withColumns({"rn": F.row_number().over(inside), "follower": follower})
+    heads = ranked.where("rn = 1").select(F.col("part").alias("next_part"), F.col("step").alias("next_step"), F.struct(*columns).alias("head"))
     heads = following(rows.select("part", "step").distinct()).join(heads, ["next_part", "next_step"]).drop("next_part", "next_step")
     joined = ranked.join(heads, ["part", "step"], "left")
-    return joined.withColumns({f"next_{c}": F.coalesce(f"in_{c}", f"head_{c}") for c in columns}).drop(*[f"{k}_{c}" for k in ("in", "head") for c in columns])
+    found = joined.withColumn("follower", F.coalesce("follower", "head"))
+    return found.withColumns({f"next_{c}": F.col("follower")[c] for c in columns}).drop("follower", "head")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Every document with its own, its edited text's and its successor's fingerprint."""
-    ranked = with_next(bucketed(docs), ["id", "text"], ["text"])
+    # Heads read the same columns as all rows do, so one shuffle of texts serves both.
+    ranked = with_next(bucketed(docs), ["id", "text"], ["doc_id", "text"])
     n = F.char_length("text").cast("long")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(
         F.substring(F.col("text"), F.lit(1), (n - quarter).cast("int")), F.substring("next_text", F.lit(1), quarter)
     )
-    pair = ranked.select("part", "step", "rn", "doc_id", n.alias("n_chars"), "text", edited.alias("edited"))
+    pair = ranked.select("part", "step", "rn", "doc_id", "next_doc_id", n.alias("n_chars"), "text", edited.alias("edited"))
     both = F.array(
         F.struct(F.lit(0).alias("kind"), F.col("text").alias("content")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("content"))
     )
-    rows = pair.select("part", "step", "rn", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.inline(both))
-    keys = ["part", "step", "rn", "doc_id", "n_chars", "edited_sha256", "kind"]
+    rows = pair.select("part", "step", "rn", "doc_id", "next_doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.inline(both))
+    keys = ["part", "step", "rn", "doc_id", "next_doc_id", "n_chars", "edited_sha256", "kind"]
     prints = fingerprint(rows, keys, "content")
     of = lambda name, kind: F.max(F.when(F.col("kind") == kind, F.col(name)))
     wide = prints.groupBy(*keys[:-1]).agg(
@@ -187,13 +190,14 @@ def near_fingerprints(queries: DataFrame, rows: DataFrame, radius: int = RADIUS,
     left = entries(queries, near_masks)
     right = entries(rows, {size: [0] for size in sizes}).select("tab", "key", F.col("f1").alias("near1"), F.col("f2").alias("near2"))
     distance = F.bit_count(F.expr("f1 ^ near1")) + F.bit_count(F.expr("f2 ^ near2"))
-    met = left.join(right, (left.tab == right.tab) & (left.key == right.key) & (distance <= radius))
+    # A merge join: Spark takes the size of the few queries for that of their many keys, and would broadcast these.
+    met = left.hint("merge").join(right, (left.tab == right.tab) & (left.key == right.key) & (distance <= radius))
     return met.select("f1", "f2", "near1", "near2", distance.alias("distance")).distinct()
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries of the radius search are the documents whose id is divisible by 50 (``n_near``: how many other
-    documents lie within the radius; null for the rest)."""
+    documents lie within the radius; null for the rest).  ``next_doc_id`` is the document whose text the edit takes."""
     prints = write_table(fingerprints(table(spark, sf_dir, "documents")), "fingerprints")
     asked = F.col("doc_id") % 50 == 0
     counts = prints.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("n"))
@@ -212,4 +216,5 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         likeness(F.col("f1"), F.col("f2"), F.col("e1"), F.col("e2")).alias("near_edited"),
         likeness(F.col("f1"), F.col("f2"), F.col("n1"), F.col("n2")).alias("near_next"),
         F.when(asked, F.col("n_near")).alias("n_near"),
+        "next_doc_id",
     )
