@@ -20,7 +20,7 @@ def test_reverse_complement_keeps_symbols(spark):
 def test_expansion_is_lexical_and_budgeted(spark):
     df = spark.createDataFrame([("a", "RY"), ("b", "BDN")], "id string, seq string")
     rows = domains.expand(df, ["id"], "seq", 35).orderBy("id", "variant").collect()
-    assert [r.word for r in rows] == ["AC", "AT", "GC", "GT"]
+    assert [(r.id, r.status, r.word) for r in rows] == [("a", "expanded", w) for w in ("AC", "AT", "GC", "GT")] + [("b", "over_budget", None)]
     assert domains.expand(df, ["id"], "seq", 36).where("id = 'b'").count() == 36
 
 
@@ -122,3 +122,32 @@ def test_stream_appends_once(spark, tmp_path):
     rows.write.mode("append").parquet(source)  # the same steps come again
     resumable.stream_steps(spark, source, schema, log, str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(log).count() == 3
+
+
+def test_long_sequences_are_scanned_in_pieces(spark):
+    """Sites on and across the edges of pieces, against a plain search."""
+    import random
+
+    rng = random.Random(2)
+    seq = "".join(rng.choice("ACGT") for _ in range(9000))
+    for at in (0, 60, 62, 64, 4090, 4094, 4096, 8191, 8995):
+        seq = seq[:at] + "GAGTC" + seq[at + 5 :]
+    df = spark.createDataFrame([("s", seq), ("short", "GAGT"), ("empty", "")], "id string, seq string")
+    got = {(r.orientation, r.start) for r in scan.scan_nicks(df, ["id"], "seq", [("a", "GAGTC", "top", 1)]).collect()}
+    find = lambda word: {i for i in range(len(seq)) if seq.startswith(word, i)}
+    assert got == {("forward", i) for i in find("GAGTC")} | {("reverse", i) for i in find("GACTC")}
+    words = {r.word for r in scan.distinct_words(df, "seq", 8).collect()}
+    assert words == {seq[i : i + 8] for i in range(len(seq) - 7)}
+
+
+def test_manifest_keeps_equal_names_apart(spark, tmp_path):
+    from plectra.sources import records
+
+    for folder, text in (("a", "one"), ("b", "two")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "same.txt").write_text(text)
+    rows = records.manifest(spark, str(tmp_path))
+    assert sorted(r.path for r in rows.collect()) == ["a/same.txt", "b/same.txt"]
+    before = spark.createDataFrame(rows.collect(), rows.schema)
+    (tmp_path / "b" / "same.txt").write_text("three")
+    assert [(r.path, r.problem) for r in records.verify_manifest(spark, str(tmp_path), before).collect()] == [("b/same.txt", "changed")]
