@@ -28,14 +28,16 @@ def reasons(selections: Selections) -> Column:
     return F.array_compact(F.array(*said))
 
 
-def facets(pool: DataFrame, axes: list[str], selections: Selections, preparation: str) -> DataFrame:
+def facets(pool: DataFrame, axes: list[str], selections: Selections, preparation: str, eligible: Column | None = None) -> DataFrame:
     """Records and distinct preparations by axis value: all, and those that pass the other axes' predicates.
 
-    One pass: a row counts for an axis if it fails nothing, or that axis alone.
+    One pass: a row counts for an axis if it fails nothing, or that axis alone.  ``eligible`` keeps a row out of the
+    conditional counts without taking it from the recorded ones.
     """
     cells = F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).cast("string").alias("value")) for a in axes])
-    rows = pool.select(F.col(preparation).alias("prep"), failed(selections).alias("failed"), F.inline(cells))
-    open_ = (F.size("failed") == 0) | ((F.size("failed") == 1) & (F.col("failed")[0] == F.col("axis")))
+    kept = F.lit(True) if eligible is None else F.coalesce(eligible, F.lit(False))
+    rows = pool.select(F.col(preparation).alias("prep"), failed(selections).alias("failed"), kept.alias("kept"), F.inline(cells))
+    open_ = F.col("kept") & ((F.size("failed") == 0) | ((F.size("failed") == 1) & (F.col("failed")[0] == F.col("axis"))))
     return rows.groupBy("axis", "value").agg(
         F.count(F.lit(1)).alias("records"),
         F.countDistinct("prep").alias("preparations"),
@@ -44,6 +46,30 @@ def facets(pool: DataFrame, axes: list[str], selections: Selections, preparation
     )
 
 
+def pin_reasons(pins: dict[str, list], focus: str | None = None) -> Column:
+    """``region:unassessed`` or ``region:different`` of each pinned region whose variant is not an allowed one; the
+    region in focus may be left out, so that its alternatives stay open."""
+    said = [
+        F.when(F.col(region).isNull(), F.lit(f"{region}:unassessed")).when(~F.col(region).isin(*allowed), F.lit(f"{region}:different"))
+        for region, allowed in pins.items()
+        if region != focus
+    ]
+    return F.array_compact(F.array(*said)) if said else F.array().cast("array<string>")
+
+
+def refine(pool: DataFrame, axes: list[str], selections: Selections, preparation: str, reference: DataFrame, preserve: list[str]) -> DataFrame:
+    """Facets again, where only options that keep the reference's surroundings are witnesses.
+
+    ``reference`` is one row; a property that either side lacks is not preserved.  A value with records and no witness is
+    supported elsewhere.
+    """
+    own = reference.select(*[F.col(p).alias(f"_ref_{p}") for p in preserve]).limit(1)
+    same = F.forall(F.array(*[F.coalesce(F.col(p) == F.col(f"_ref_{p}"), F.lit(False)) for p in preserve]), lambda x: x)
+    counted = facets(pool.crossJoin(F.broadcast(own)), axes, selections, preparation, same)  # one reference row
+    state = F.when(F.col("conditional_records") > 0, "supported").when(F.col("preparations") > 0, "supported_elsewhere").otherwise("unresolved")
+    return counted.withColumn("state", state)
+
+
 def domain_states(found: DataFrame, declared: DataFrame, complete: bool) -> DataFrame:
     """Declared values are kept: supported, supported elsewhere, or unresolved (excluded only by a complete search)."""
     state = (

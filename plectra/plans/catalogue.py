@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from .construction import ORACLE_SQL, QUERIES
+from .junctions import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

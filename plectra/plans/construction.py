@@ -58,18 +58,6 @@ def processing_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.intersected(layers, ["item_id"])
 
 
-@query(
-    f"""WITH d AS (SELECT item_id, {DNA_SQL} AS dna FROM benchmark WHERE length({DNA_SQL}) >= 6)
-SELECT item_id, substr(dna, 4) AS active, reverse(translate(substr(dna, 4), 'ACGT', 'TGCA')) AS partner, length(dna) - 3 AS released_nt, CASE WHEN length(dna) < 20 THEN 'short' ELSE '' END AS diagnostics FROM d"""
-)
-def released_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The strand kept after a release cut at 3, its partner, and what speaks against it."""
-    items = item_dna(spark, sf_dir).where(F.length("dna") >= 6)
-    active = F.substring("dna", 4, 1 << 30)
-    diagnostics = F.array_compact(F.array(F.when(F.length("dna") < 20, F.lit("short"))))
-    return items.select("item_id", active.alias("active"), dna.reverse_complement(active).alias("partner"), (F.length("dna") - 3).cast("long").alias("released_nt"), F.array_join(diagnostics, ",").alias("diagnostics"))
-
-
 @query("SELECT n, k, CAST(sum(t) OVER (PARTITION BY n ORDER BY k ROWS UNBOUNDED PRECEDING) AS BIGINT) AS candidates FROM (SELECT n, k, factorial(CAST(n AS INTEGER)) / (factorial(CAST(k AS INTEGER)) * factorial(CAST(n - k AS INTEGER))) * power(3, k) AS t FROM range(1, 11) a(n), range(0, 4) b(k) WHERE k <= n)")
 def arm_candidate_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many arms have at most k replaced bases, without making them."""

@@ -110,33 +110,6 @@ def canonical_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pool.canonical_members(document_dna(spark, sf_dir), F.sha2("dna", 256), "doc_id").select("doc_id", "digest", "canonical", "duplicate")
 
 
-@query(
-    """SELECT p_type AS strand, p_size AS site, count(*) AS routes, count(*) FILTER (s_acctbal >= 0) AS compatible, count(*) FILTER (s_acctbal < 0) AS blocked
-FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY p_type, p_size"""
-)
-def route_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidate by geometry routes; a blocked pair is kept and counted."""
-    rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey")
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size")
-    supply = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
-    joined = rows.join(parts, rows.l_partkey == parts.p_partkey).join(supply, rows.l_suppkey == supply.s_suppkey)
-    ok = (F.col("s_acctbal") >= 0).cast("long")
-    return joined.groupBy(F.col("p_type").alias("strand"), F.col("p_size").alias("site")).agg(F.count(F.lit(1)).alias("routes"), F.sum(ok).alias("compatible"), F.sum(1 - ok).alias("blocked"))
-
-
-@query(
-    f"""WITH b AS (SELECT item_id, substr({DNA_SQL}, 1, 2) AS active FROM benchmark), r AS (SELECT item_id AS other_id, substr(reverse({DNA_SQL}), 1, 2) AS surviving FROM benchmark)
-SELECT active, count(DISTINCT item_id) AS lefts, count(DISTINCT other_id) AS rights, count(other_id) AS routes FROM b LEFT JOIN r ON active = surviving GROUP BY active"""
-)
-def strand_route_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Routes by strand word: sizes of both sides are multiplied, so no pair becomes a row."""
-    items = item_dna(spark, sf_dir)
-    left = items.groupBy(F.substring("dna", 1, 2).alias("active")).agg(F.countDistinct("item_id").alias("lefts"), F.count(F.lit(1)).alias("n"))
-    right = items.groupBy(F.substring(F.reverse("dna"), 1, 2).alias("surviving")).agg(F.countDistinct("item_id").alias("rights"), F.count(F.lit(1)).alias("m"))
-    joined = left.join(right, F.col("active") == F.col("surviving"), "left")
-    return joined.select("active", "lefts", F.coalesce("rights", F.lit(0)).alias("rights"), (F.col("n") * F.coalesce("m", F.lit(0))).alias("routes"))
-
-
 @query(
     """WITH a AS (SELECT DISTINCT p_brand FROM part), t AS (SELECT DISTINCT p_type FROM part), r AS (SELECT p_brand, p_type, min(p_size) AS least, count(*) AS rows FROM part WHERE p_retailprice < 1000 GROUP BY p_brand, p_type)
 SELECT p_brand, p_type, least, coalesce(rows, 0) AS rows, CASE WHEN rows IS NULL THEN 'unknown' ELSE 'found' END AS status FROM a CROSS JOIN t LEFT JOIN r USING (p_brand, p_type)"""
