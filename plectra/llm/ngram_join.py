@@ -1,10 +1,12 @@
 """N-gram Jaccard join by MinHash banding.
 
 Texts with equal shingle sets form one class.  Band and row counts are chosen for the target recall at
-the threshold.  Classes that share a band hash are candidates; candidates are joined to groups, and
-within a group every pair of classes is verified on the full sets, in blocks, so no pair is lost to a
-bucket's size and no pair becomes a row.  Each block returns a class's links and the least class it is
-linked to, which joins linked classes to near-duplicate groups.
+the threshold.  Classes that share a band hash are candidates.  Candidates are joined to components; within
+one of at most ``block`` classes every pair is verified on the full sets.  A larger one is verified by its band
+buckets where these hold fewer pairs than the whole (chance hits join components), each pair in the first band it shares,
+else as a whole; either goes in blocks, so no pair is lost to a bucket's size and no pair becomes a row.  Both find each
+candidate pair that reaches the threshold.  Each block returns a class's links and the least class it is linked to, which
+joins linked classes to near-duplicate groups.
 
 Defined results: a null or empty text and one without words has no shingles and no links, not even to its
 like; a text of fewer than five words has one shingle; equal rows are two documents; ids may be null
@@ -101,13 +103,20 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray], width: int =
     return shared
 
 
-def verify_group(reps: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float):
-    """(links, root) of each class, of the pairs between ``left`` and ``right`` places (or within one of them)."""
+def verify_group(
+    reps: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float, earlier: np.ndarray
+):
+    """(links, root) of each class, of the pairs between ``left`` and ``right`` places (or within one of them).
+
+    A pair that agrees in a column of ``earlier``, the hashes of the bands before this one, is counted there.
+    """
     sizes = np.array([len(s) for s in sets], np.float64)
     a, b = [sets[i] for i in left], [sets[i] for i in right]
     shared = intersections(a, b).astype(np.float64)
     # shared / (a + b - shared) >= threshold; a hair is given for rounding
     hit = shared * (1 + threshold) >= threshold * (sizes[left][:, None] + sizes[right][None, :]) - 1e-9
+    for column in earlier.T:
+        hit &= column[left][:, None] != column[right][None, :]
     same = left is right
     if same:
         np.fill_diagonal(hit, False)
@@ -128,12 +137,12 @@ def verify_group(reps: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], l
 
 
 def verify_bin(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Links of one block pair of a large group, or of several small groups: (rep, links, root)."""
-    rows = rows.sort_values(["grp", "rep"], kind="stable")
-    groups, reps, copies = (rows[c].to_numpy() for c in ("grp", "rep", "copies"))
+    """Links of one block pair of a large unit, or of several small units: (rep, links, root)."""
+    rows = rows.sort_values(["unit", "band", "rep"], kind="stable")
+    units, bands, reps, copies, keys = (rows[c].to_numpy() for c in ("unit", "band", "rep", "copies", "keys"))
     blk, bi, bj = (rows[c].to_numpy() for c in ("blk", "bi", "bj"))
     packed = rows["shingles"].to_numpy()
-    edges = np.r_[np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]]), len(groups)]
+    edges = np.r_[np.flatnonzero(np.r_[True, (units[1:] != units[:-1]) | (bands[1:] != bands[:-1])]), len(units)]
     out = []
     for a, b in zip(edges[:-1], edges[1:]):
         sets = [np.frombuffer(x, dtype=U64) for x in packed[a:b]]
@@ -141,11 +150,38 @@ def verify_bin(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
         left, right = everyone, everyone
         if bi[a] != bj[a]:
             left, right = np.flatnonzero(blk[a:b] == bi[a]), np.flatnonzero(blk[a:b] == bj[a])
-        links, root = verify_group(reps[a:b], copies[a:b], sets, left, right, threshold)
+        earlier = np.stack(keys[a:b])[:, : bands[a]] if bands[a] > 0 else np.zeros((b - a, 0), np.int64)
+        links, root = verify_group(reps[a:b], copies[a:b], sets, left, right, threshold, earlier)
         out.append((reps[a:b][links > 0], links[links > 0], root[links > 0]))
     return pd.DataFrame({name: np.concatenate([x[i] for x in out]) for i, name in enumerate(("rep", "links", "root"))})
 
 
+def verification_units(banded: DataFrame, buckets: DataFrame, groups: DataFrame, keys: DataFrame, block: int) -> DataFrame:
+    """(id, unit, n, band, keys): the sets of classes whose pairs are verified, and their sizes.
+
+    A unit is a component (band -1, no keys), or one of the band buckets of a component of more than ``block`` classes whose
+    buckets hold fewer pairs.  Of buckets with the same members only that of the first band is a unit.
+    """
+    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    whole = groups.join(sizes, "root").select(
+        "root", "id", F.col("root").alias("unit"), "n", F.lit(-1).alias("band"), F.lit(None).cast("array<long>").alias("keys")
+    )
+    large = write_table(sizes.where(F.col("n") > block).withColumnRenamed("n", "n_all"), "large")
+    if large.isEmpty():
+        return whole.drop("root")
+    inside = buckets.join(groups.withColumnRenamed("id", "low"), "low").join(large, "root")
+    unlike = write_table(inside.groupBy("root", "n_all", "n", "f1", "f2").agg(F.min(F.struct("band", "key")).alias("first")), "unlike")
+    pairs = F.sum(F.pow("n", F.lit(2))).alias("pairs")
+    parted = write_table(unlike.groupBy("root", "n_all").agg(pairs).where("pairs < pow(n_all, 2)").select("root"), "parted")
+    first = unlike.join(parted, "root", "left_semi").select("n", "first.band", "first.key")
+    parts = (
+        banded.join(first, ["band", "key"])
+        .join(keys, "id")
+        .select("id", F.xxhash64("band", "key").alias("unit"), "n", F.col("band").cast("int").alias("band"), "keys")
+    )
+    return whole.join(parted, "root", "left_anti").drop("root").unionByName(parts)
+
+
 def linked_rows(
     docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, n: int = SHINGLE, block: int = BLOCK
 ) -> DataFrame:
@@ -165,15 +201,27 @@ def linked_rows(
     )
     heads = signed.withColumnRenamed("id", "least").join(classes, ["least", "th", "c1", "c2"], "left_semi")
     banded = heads.select(F.xxhash64("c1", "c2").alias("id"), F.posexplode("keys").alias("band", "key")).distinct()
-    star = banded.groupBy("band", "key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    pairs = banded.join(star, ["band", "key"]).where("id <> low").select(F.col("id").alias("u"), F.col("low").alias("v")).distinct()
-    groups = write_table(connected_components(pairs), "groups")
-    sizes = groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    buckets = write_table(
+        banded.groupBy("band", "key")
+        .agg(
+            F.min("id").alias("low"),
+            F.max("id").alias("high"),
+            F.count(F.lit(1)).alias("n"),
+            F.bit_xor(F.xxhash64("id")).alias("f1"),
+            F.bit_xor(F.xxhash64(F.lit(7919), "id")).alias("f2"),
+        )
+        .where("low < high"),
+        "buckets",
+    )
+    star = banded.join(buckets.select("band", "key", "low"), ["band", "key"]).where("id <> low")
+    groups = write_table(connected_components(star.select(F.col("id").alias("u"), F.col("low").alias("v")).distinct()), "groups")
+    keys = heads.select(F.xxhash64("c1", "c2").alias("id"), "keys").dropDuplicates(["id"])
+    units = verification_units(banded, buckets, groups, keys, block).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
 
-    # Sets are made again from the texts of candidates only; each goes to the block pairs of its group.
-    wanted = groups.join(sizes, "root").join(classes.withColumnRenamed("rep", "id"), "id")
+    # Sets are made again from the texts of candidates only; each goes to the block pairs of its units.
+    wanted = groups.select("id").join(classes.withColumnRenamed("rep", "id"), "id")
     texts = docs.select(order_id().cast("long").alias("least"), text_hash(F.col("text")).alias("th"), F.col("text").cast("string").alias("text"))
-    found = texts.join(wanted, ["least", "th"]).select("id", "text", "root", "blocks", "copies", "c1", "c2")
+    found = texts.join(wanted, ["least", "th"]).select("id", "text", "copies", "c1", "c2")
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,21 +230,18 @@ def linked_rows(
             c1 = np.array([int(s.sum(dtype=U64).view(np.int64)) for s in sets], np.int64)
             same = c1 == batch.column("c1").to_numpy()  # two texts may share a hash
             packed = pa.array([s.tobytes() for s in sets], pa.binary())
-            kept = batch.select(["id", "root", "blocks", "copies"]).add_column(4, "shingles", packed)
+            kept = batch.select(["id", "copies"]).add_column(2, "shingles", packed)
             yield kept.filter(pa.array(same))
 
-    sets = found.mapInArrow(with_sets, "id long, root long, blocks int, copies long, shingles binary")
-    sets = sets.dropDuplicates(["id"]).withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    spread = sets.select(F.col("id").alias("rep"), F.col("root").alias("grp"), "blocks", "copies", "shingles", "blk", F.explode(others).alias("other"))
-    spread = spread.select(
-        "rep", "grp", "blocks", "copies", "shingles", "blk", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj")
-    )
-    # Small groups share tasks' groups; a large group has one for each pair of its blocks.
+    sets = found.mapInArrow(with_sets, "id long, copies long, shingles binary").dropDuplicates(["id"]).join(units, "id")
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    spread = sets.withColumnRenamed("id", "rep").withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    spread = spread.withColumn("other", others).withColumn("bi", F.least("blk", "other")).withColumn("bj", F.greatest("blk", "other"))
+    # Small units share tasks' groups; a large unit has one for each pair of its blocks.
     few = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")) * 8)
-    bin_of = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("grp"), F.lit(few))).otherwise(F.xxhash64("grp", "bi", "bj"))
+    bin_of = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("unit"), F.lit(few))).otherwise(F.xxhash64("unit", "band", "bi", "bj"))
     verified = write_table(
-        spread.withColumn("bin", bin_of)
+        spread.select("rep", "unit", "band", "keys", "copies", "shingles", "blk", "bi", "bj", bin_of.alias("bin"))
         .groupBy("bin", "bi", "bj")
         .applyInPandas(lambda rows: verify_bin(rows, threshold), "rep long, links long, root long"),
         "links",

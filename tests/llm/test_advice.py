@@ -109,3 +109,23 @@ def test_op10_short_documents(spark):
             want[i] = (1, value, 0, len(d), 1)
     got = {r.doc_id: (r.item_id, r.similarity, r.start_word, r.n_words, r.n_windows) for r in decontaminate.find_leaks(table, items).collect()}
     assert got == want and {0, 1, 2, 3} <= set(want) and 6 not in want
+
+
+def test_op6_band_units(spark, monkeypatch):
+    """A component that chance band hits join is verified by band buckets, and loses no link."""
+    rng = random.Random(8)
+    stream = [f"w{rng.randrange(10**6)}" for _ in range(1100)]
+    texts = {i: " ".join(stream[i * 16 : i * 16 + 140]) for i in range(60)}  # neighbours are near 0.78 alike
+    for i in range(0, 60, 4):
+        words = texts[i].split()
+        texts[100 + i] = " ".join(words[4:])
+        texts[200 + i] = " ".join(words[:-3] + ["other"] * 3)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    shingles = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in texts.items())}
+    want = {i: sum(i != j and len(a & b) >= 0.8 * len(a | b) for j, b in shingles.items()) for i, a in shingles.items()}
+    made, real = [], ngram_join.verification_units
+    monkeypatch.setattr(ngram_join, "verification_units", lambda *a: made.append(real(*a)) or made[-1])
+    for block in (256, 8, 3):
+        assert {r.id: r.n_links for r in ngram_join.jaccard_classes(docs, block=block).collect()} == want
+    assert [u.where("band >= 0").isEmpty() for u in made] == [True, False, False]
+    assert max(want.values()) > 1
