@@ -103,7 +103,9 @@ def dedup_lines(
     for part in document_batches(docs.select("doc_id", "text"), batches):
         hashes = F.array_compact(F.array_distinct(key_hashes(F.col("text"), min_chars)))
         runs.add(part.select(order_id().alias("id"), F.explode(hashes).alias("k")).select("id", "k.h1", "k.h2"))
-    repeated = runs.repeated(min_docs)
+    # Written, so that its size is known and neither side of the join below is an aggregate: Spark can then broadcast a small
+    # table, or split the places of a line that a third of all documents hold.
+    repeated = write_table(runs.repeated(min_docs), "line-repeated")
 
     text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     places = (
