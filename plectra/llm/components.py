@@ -31,7 +31,8 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", rounds: i
             break
         # Large star: each neighbour above u is linked to the least of u and its neighbours.
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Written, so that no side of the join is an aggregate and Spark can split a hub's edges, or broadcast a small table.
+        least = write_table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = _distinct(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         # Small star: u and its lower neighbours are linked to the least of these.
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
