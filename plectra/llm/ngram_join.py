@@ -162,11 +162,11 @@ def verification_units(banded: DataFrame, buckets: DataFrame, groups: DataFrame,
     A unit is a component (band -1, no keys), or one of the band buckets of a component of more than ``block`` classes whose
     buckets hold fewer pairs.  Of buckets with the same members only that of the first band is a unit.
     """
-    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    sizes = write_table(groups.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "sizes")
     whole = groups.join(sizes, "root").select(
         "root", "id", F.col("root").alias("unit"), "n", F.lit(-1).alias("band"), F.lit(None).cast("array<long>").alias("keys")
     )
-    large = write_table(sizes.where(F.col("n") > block).withColumnRenamed("n", "n_all"), "large")
+    large = sizes.where(F.col("n") > block).withColumnRenamed("n", "n_all")
     if large.isEmpty():
         return whole.drop("root")
     inside = buckets.join(groups.withColumnRenamed("id", "low"), "low").join(large, "root")
@@ -195,12 +195,11 @@ def linked_rows(
     classes = write_table(
         signed.where("n_shingles > 0")
         .groupBy("c1", "c2")
-        .agg(F.min("id").alias("least"), F.min_by("th", "id").alias("th"), F.count(F.lit(1)).alias("copies"))
+        .agg(F.min("id").alias("least"), F.min_by("th", "id").alias("th"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"))
         .withColumn("rep", F.xxhash64("c1", "c2")),
         "classes",
     )
-    heads = signed.withColumnRenamed("id", "least").join(classes, ["least", "th", "c1", "c2"], "left_semi")
-    banded = heads.select(F.xxhash64("c1", "c2").alias("id"), F.posexplode("keys").alias("band", "key")).distinct()
+    banded = classes.select(F.col("rep").alias("id"), F.posexplode("keys").alias("band", "key"))
     buckets = write_table(
         banded.groupBy("band", "key")
         .agg(
@@ -215,7 +214,7 @@ def linked_rows(
     )
     star = banded.join(buckets.select("band", "key", "low"), ["band", "key"]).where("id <> low")
     groups = write_table(connected_components(star.select(F.col("id").alias("u"), F.col("low").alias("v")).distinct()), "groups")
-    keys = heads.select(F.xxhash64("c1", "c2").alias("id"), "keys").dropDuplicates(["id"])
+    keys = classes.select(F.col("rep").alias("id"), "keys")
     units = verification_units(banded, buckets, groups, keys, block).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
 
     # Sets are made again from the texts of candidates only; each goes to the block pairs of its units.
