@@ -167,3 +167,27 @@ def changed_keys(before: DataFrame, after: DataFrame, key: str, value: str) -> D
     a = before.select(F.col(key), F.col(value).alias("before"))
     b = after.select(F.col(key), F.col(value).alias("after"))
     return a.join(b, key, "full").where(~F.col("before").eqNullSafe(F.col("after")))
+
+
+def interface_status(lefts: DataFrame, rights: DataFrame, ended: DataFrame, excluded: DataFrame) -> DataFrame:
+    """(query, targets, excluded, pending) of queries that permit (query, left) and (query, right) values.
+
+    A query is excluded if every target it permits is among the ``excluded`` (left, right) pairs, and pending while one is not
+    among the ``ended``.  One that permits no target is neither.  Targets are counted from the sides; only recorded pairs are joined.
+    """
+    lefts, rights = lefts.distinct(), rights.distinct()
+    sides = lefts.groupBy("query").agg(F.count(F.lit(1)).alias("n_left")).join(
+        rights.groupBy("query").agg(F.count(F.lit(1)).alias("n_right")), "query", "full"
+    )
+    recorded = ended.select("left", "right", F.lit(1).alias("ended"), F.lit(0).alias("excluded")).unionByName(
+        excluded.select("left", "right", F.lit(0).alias("ended"), F.lit(1).alias("excluded"))
+    )
+    pairs = recorded.groupBy("left", "right").agg(F.max("ended").alias("ended"), F.max("excluded").alias("excluded"))
+    held = pairs.join(lefts, "left").join(rights, ["query", "right"]).groupBy("query")
+    counts = held.agg(F.sum("ended").alias("n_ended"), F.sum("excluded").alias("n_excluded"))
+    targets = (F.coalesce("n_left", F.lit(0)) * F.coalesce("n_right", F.lit(0))).alias("targets")
+    found = sides.join(counts, "query", "left").select(
+        "query", targets, F.coalesce("n_ended", F.lit(0)).alias("n_ended"), F.coalesce("n_excluded", F.lit(0)).alias("n_excluded")
+    )
+    full = (F.col("targets") > 0) & (F.col("n_excluded") == F.col("targets"))
+    return found.select("query", "targets", full.alias("excluded"), (F.col("n_ended") < F.col("targets")).alias("pending"))

@@ -261,3 +261,22 @@ def neighborhoods(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.countDistinct("p_size")
     state = F.when(n == 0, "unavailable").when(n == 1, "fixed").otherwise("variable")
     return table(spark, sf_dir, "part").groupBy("p_type", "p_brand").agg(state.alias("neighborhood"), F.min("p_size").alias("low"), F.max("p_size").alias("high"))
+
+
+@query(
+    """WITH q AS (SELECT DISTINCT p_size AS query, p_type FROM part), r AS (SELECT DISTINCT p_size AS query, p_brand FROM part),
+p AS (SELECT p_type, p_brand, min(p_retailprice) >= 950 AS gone FROM part GROUP BY ALL),
+t AS (SELECT query, count(*) AS targets, count(p.gone) AS n_ended, count(*) FILTER (p.gone) AS n_excluded
+FROM q JOIN r USING (query) LEFT JOIN p USING (p_type, p_brand) GROUP BY query)
+SELECT query, targets, n_excluded = targets AS excluded, n_ended < targets AS pending FROM t"""
+)
+def interface_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is settled of the types and brands that each size permits; pairs that occur have ended, dear ones are excluded."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_size").alias("query"), F.col("p_type").alias("left"), F.col("p_brand").alias("right"), "p_retailprice")
+    ended = rows.groupBy("left", "right").agg(F.min("p_retailprice").alias("least"))
+    return pool.interface_status(rows.select("query", "left"), rows.select("query", "right"), ended, ended.where("least >= 950"))
+
+
+@query("SELECT count(*) AS records, CAST(coalesce(sum(strlen(text)), 0) AS BIGINT) AS bytes FROM documents")
+def storage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resumable.storage(table(spark, sf_dir, "documents"), "text")

@@ -39,6 +39,11 @@ def combined(steps: DataFrame) -> DataFrame:
     return parts.groupBy("part").agg(F.count(F.lit(1)).alias("targets"), F.sum("steps").alias("steps"), (F.max("parts") == 1).alias("disjoint"))
 
 
+def storage(rows: DataFrame, content: str) -> DataFrame:
+    """Records and the bytes of their content; of an empty log none and 0."""
+    return rows.agg(F.count(F.lit(1)).alias("records"), F.coalesce(F.sum(F.octet_length(content).cast("long")), F.lit(0)).alias("bytes"))
+
+
 def append_new(batch: DataFrame, log_path: str) -> None:
     """Append the steps that the log lacks: for ``foreachBatch``, where a batch may come twice."""
     spark = batch.sparkSession

@@ -151,3 +151,19 @@ def test_manifest_keeps_equal_names_apart(spark, tmp_path):
     before = spark.createDataFrame(rows.collect(), rows.schema)
     (tmp_path / "b" / "same.txt").write_text("three")
     assert [(r.path, r.problem) for r in records.verify_manifest(spark, str(tmp_path), before).collect()] == [("b/same.txt", "changed")]
+
+
+def test_interface_status(spark):
+    lefts = spark.createDataFrame([(1, "a"), (1, "b"), (1, "a"), (2, "a"), (3, "c"), (4, "b")], "query int, left string")
+    rights = spark.createDataFrame([(1, "x"), (1, "y"), (2, "x"), (3, "x")], "query int, right string")
+    pairs = [("a", "x"), ("a", "y"), ("b", "x"), ("b", "y")]
+    ended = spark.createDataFrame(pairs, "left string, right string")
+    excluded = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "y")], "left string, right string")
+    got = {r.query: (r.targets, r.excluded, r.pending) for r in pool.interface_status(lefts, rights, ended, excluded).collect()}
+    assert got == {1: (4, False, False), 2: (1, True, False), 3: (1, False, True), 4: (0, False, False)}
+
+
+def test_storage(spark):
+    rows = spark.createDataFrame([("é",), (None,), ("abc",)], "text string")
+    assert tuple(resumable.storage(rows, "text").first()) == (3, 5)
+    assert tuple(resumable.storage(rows.limit(0), "text").first()) == (0, 0)
