@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.dna import cardinality, masks
+from .ranks import rank_within, running_total
 
 
 def unrank(domains: Column, rank: Column) -> Column:
@@ -46,15 +47,9 @@ def words_of(spark: SparkSession, size: int) -> DataFrame:
     return spark.range(4**size).select(F.col("id").alias("rank"), unrank(domains, F.col("id")).alias("word"))
 
 
-def global_rank(df: DataFrame, word: str, prefix: int = 4) -> DataFrame:
-    """``rank`` from 0 in word order.  Counts by prefix give each prefix its offset, so no task holds all rows."""
-    lead = F.substring(word, 1, prefix)
-    sizes = df.groupBy(lead.alias("lead")).agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy("lead").rowsBetween(Window.unboundedPreceding, -1)  # one row a prefix
-    offsets = sizes.select("lead", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    order = Window.partitionBy("lead").orderBy(word)
-    joined = df.withColumn("lead", lead).join(offsets, "lead")
-    return joined.withColumn("rank", F.col("base") + F.row_number().over(order) - 1).drop("lead", "base")
+def global_rank(df: DataFrame, word: str) -> DataFrame:
+    """``rank`` from 0 in the order of distinct words, by ranges of words."""
+    return rank_within(df, word)
 
 
 def hamming(left: Column, right: Column) -> Column:
@@ -67,7 +62,7 @@ def seeded_order(df: DataFrame, word: str, seed: str) -> DataFrame:
     """Distance of each word's start to the seed, and the word's rank by (distance, word)."""
     away = df.withColumn("distance", hamming(F.substring(word, 1, len(seed)), F.lit(seed)))
     keyed = away.withColumn("_key", F.concat(F.lpad(F.col("distance").cast("string"), 4, "0"), word))
-    return global_rank(keyed, "_key", 8).drop("_key")
+    return global_rank(keyed, "_key").drop("_key")
 
 
 def member_at(df: DataFrame, word: str, ranks: DataFrame) -> DataFrame:
@@ -99,13 +94,12 @@ def grid(spark: SparkSession, sizes: list[int]) -> DataFrame:
 def interleave(df: DataFrame, population: str, member: str) -> DataFrame:
     """Round-robin: first the first member of each population, then the second of each.
 
-    Rows are counted by turn: a turn starts after all rows of the turns before it, and within a turn populations
-    follow in order.
+    Members are numbered by ranges, so neither a population nor the turns meet in one task; a turn starts after all rows of
+    the turns before it, and within a turn populations follow in order.
     """
-    numbered = df.withColumn("turn", F.row_number().over(Window.partitionBy(population).orderBy(member)) - 1)
+    numbered = rank_within(df, member, "turn", population)
     sizes = numbered.groupBy("turn").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)  # one row a turn
-    starts = sizes.select("turn", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    starts = running_total(sizes, "turn", "n", "base").select("turn", "base")
     inside = Window.partitionBy("turn").orderBy(population)
     return numbered.join(starts, "turn").withColumn("rank", F.col("base") + F.row_number().over(inside) - 1).drop("turn", "base")
 

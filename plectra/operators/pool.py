@@ -191,3 +191,25 @@ def interface_status(lefts: DataFrame, rights: DataFrame, ended: DataFrame, excl
     )
     full = (F.col("targets") > 0) & (F.col("n_excluded") == F.col("targets"))
     return found.select("query", "targets", full.alias("excluded"), (F.col("n_ended") < F.col("targets")).alias("pending"))
+
+
+def survey_coverage(targets: DataFrame, steps: DataFrame) -> DataFrame:
+    """One row over the declared ``targets`` (ordinal, left_word, right_word): support beats exclusion, and supported, excluded
+    and unresolved add up to all of them.  Steps of targets that were not declared are counted apart."""
+    known = steps.groupBy("ordinal").agg(F.sum("witness").alias("w"), F.max("exhausted").alias("e"))
+    joined = targets.withColumn("_declared", F.lit(True)).join(known, "ordinal", "full")
+    declared = F.coalesce("_declared", F.lit(False))
+    seen = F.col("e").isNotNull()
+    supported = declared & (F.coalesce("w", F.lit(0)) > 0)
+    excluded = declared & ~supported & (F.coalesce("e", F.lit(0)) == 1)
+    return joined.agg(
+        F.count_if(declared).alias("targets"),
+        F.count_if(declared & seen).alias("examined"),
+        F.count_if(supported).alias("supported"),
+        F.count_if(excluded).alias("excluded"),
+        F.count_if(declared & ~supported & ~excluded).alias("unresolved"),
+        F.count_if(declared & ~seen).alias("unexamined"),
+        F.countDistinct(F.when(supported, F.col("left_word"))).alias("left_words"),
+        F.countDistinct(F.when(supported, F.col("right_word"))).alias("right_words"),
+        F.count_if(~declared).alias("undeclared"),
+    )

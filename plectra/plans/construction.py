@@ -4,43 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..functions import dna
-from ..operators import geometry, pool, scan, similar
-from .pools import ORACLE_SQL, QUERIES, SIMILAR_SQL, STEPS_SQL, preparations, steps
+from ..operators import geometry, pool, scan
+from .pools import ORACLE_SQL, QUERIES, STEPS_SQL, steps
 from .sequences import query, words_sql
 from .tables import DNA_SQL, document_dna, item_dna, table
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
-AGENT_ROWS = "('a', 'GAGTC', 'top', 4), ('b', 'CCTNAG', 'bottom', 2), ('c', 'RGATCY', 'top', 1)"
-AGENTS = [("a", "GAGTC", "top", 4), ("b", "CCTNAG", "bottom", 2), ("c", "RGATCY", "top", 1)]
-COMPLEMENT_SQL = "reverse(translate(motif, 'ACGTRYSWKMBDHVN', 'TGCAYRSWMKVHDBN'))"
-
-
-@query(
-    f"""SELECT agent_id, target, CASE WHEN native = target THEN motif ELSE {COMPLEMENT_SQL} END AS motif, CAST(CASE WHEN native = target THEN cut ELSE length(motif) - cut END AS BIGINT) AS cut
-FROM (VALUES {AGENT_ROWS}) t(agent_id, motif, native, cut), (VALUES ('top'), ('bottom')) s(target)"""
-)
-def orient_nicks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    agents = spark.createDataFrame(AGENTS, "agent_id string, motif string, native string, cut int")
-    both = agents.withColumn("target", F.explode(F.array(F.lit("top"), F.lit("bottom"))))
-    turned = geometry.oriented_nick(F.col("motif"), F.col("native"), F.col("cut"), F.col("target"))
-    return both.select("agent_id", "target", turned.alias("g")).select("agent_id", "target", "g.motif", F.col("g.cut").cast("long").alias("cut"))
-
-
-@query(
-    f"""SELECT agent_id, orientation, CASE WHEN orientation = 'forward' THEN motif ELSE {COMPLEMENT_SQL} END AS motif,
- CAST(CASE WHEN orientation = 'forward' THEN t ELSE length(motif) - b END AS BIGINT) AS top, CAST(CASE WHEN orientation = 'forward' THEN b ELSE length(motif) - t END AS BIGINT) AS bottom
-FROM (VALUES ('r', 'GGTCTC', 7, 11), ('s', 'CCAA', 4, 8)) v(agent_id, motif, t, b), (VALUES ('forward'), ('reverse')) s(orientation)"""
-)
-def orient_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    agents = spark.createDataFrame([("r", "GGTCTC", 7, 11), ("s", "CCAA", 4, 8)], "agent_id string, motif string, t int, b int")
-    both = agents.withColumn("orientation", F.explode(F.array(F.lit("forward"), F.lit("reverse"))))
-    turned = geometry.oriented_release(F.col("motif"), F.col("t"), F.col("b"), F.col("orientation"))
-    return both.select("agent_id", "orientation", turned.alias("g")).select(
-        "agent_id", "orientation", "g.motif", F.col("g.top").cast("long").alias("top"), F.col("g.bottom").cast("long").alias("bottom")
-    )
-
 
 @query(
     f"""WITH s AS (SELECT item_id, substr({DNA_SQL}, 1, 8) AS dna FROM benchmark WHERE length({DNA_SQL}) >= 8), m(sym, mask) AS (VALUES ('A', 1), ('C', 2), ('G', 4), ('T', 8), ('R', 5), ('Y', 10), ('N', 15)),
@@ -58,26 +28,6 @@ def processing_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.intersected(layers, ["item_id"])
 
 
-@query("SELECT n, k, CAST(sum(t) OVER (PARTITION BY n ORDER BY k ROWS UNBOUNDED PRECEDING) AS BIGINT) AS candidates FROM (SELECT n, k, factorial(CAST(n AS INTEGER)) / (factorial(CAST(k AS INTEGER)) * factorial(CAST(n - k AS INTEGER))) * power(3, k) AS t FROM range(1, 11) a(n), range(0, 4) b(k) WHERE k <= n)")
-def arm_candidate_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many arms have at most k replaced bases, without making them."""
-    grid = spark.range(1, 11).select(F.col("id").alias("n")).crossJoin(F.broadcast(spark.range(4).select(F.col("id").alias("k")))).where("k <= n")
-    term = F.factorial(F.col("n").cast("int")) / (F.factorial(F.col("k").cast("int")) * F.factorial((F.col("n") - F.col("k")).cast("int"))) * F.pow(F.lit(3), F.col("k"))
-    order = Window.partitionBy("n").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return grid.select("n", "k", F.sum(F.round(term).cast("long")).over(order).alias("candidates"))
-
-
-@query("SELECT target, boundary, abs(boundary - target) AS displacement, row_number() OVER (PARTITION BY target ORDER BY abs(boundary - target), boundary) AS place FROM (VALUES (2), (7), (0)) t(target), range(0, 20) r(boundary) WHERE abs(boundary - target) <= 5")
-def boundary_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boundaries around each target: itself, then both sides, the lower first, none below 0."""
-    targets = spark.createDataFrame([(2,), (7,), (0,)], "target int")
-    around = F.sequence(F.greatest(F.col("target") - 5, F.lit(0)).cast("long"), (F.col("target") + 5).cast("long"))
-    rows = targets.withColumn("boundary", F.explode(around))
-    away = F.abs(F.col("boundary") - F.col("target"))
-    order = Window.partitionBy("target").orderBy("displacement", "boundary")
-    return rows.withColumn("displacement", away).withColumn("place", F.row_number().over(order))
-
-
 @query(
     """WITH c AS (SELECT p_type, p_size, count(*) AS examined, count(*) FILTER (p_retailprice < 1000) AS accepted FROM part GROUP BY ALL),
 r AS (SELECT *, CAST(sum(accepted) OVER (PARTITION BY p_type ORDER BY p_size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS so_far FROM c)
@@ -163,19 +113,6 @@ def set_materials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.groupBy(F.col("r_name").alias("material_id")).agg(F.min("n_nationkey").alias("first_member"), F.count(F.lit(1)).alias("uses"))
 
 
-@query(
-    f"""WITH s AS ({STEPS_SQL}), c AS (SELECT ordinal, count(*) AS n, sum(witness) AS w, max(exhausted) AS e FROM s GROUP BY ordinal)
-SELECT count(*) AS examined, count(*) FILTER (w > 0) AS supported, count(*) FILTER (w = 0 AND e = 1) AS excluded, 200 - count(*) FILTER (w > 0) - count(*) FILTER (w = 0 AND e = 1) AS unresolved, 200 - count(*) AS unexamined FROM c"""
-)
-def survey_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of 200 declared targets: what is known, and what is not."""
-    of = steps(spark, sf_dir).groupBy("ordinal").agg(F.sum("witness").alias("w"), F.max("exhausted").alias("e"))
-    supported = F.sum((F.col("w") > 0).cast("long"))
-    excluded = F.sum(((F.col("w") == 0) & (F.col("e") == 1)).cast("long"))
-    n = F.count(F.lit(1))
-    return of.agg(n.alias("examined"), supported.alias("supported"), excluded.alias("excluded"), (200 - supported - excluded).alias("unresolved"), (200 - n).alias("unexamined"))
-
-
 @query(f"WITH s AS ({STEPS_SQL}) SELECT ordinal, step, event_id, witness FROM s QUALIFY row_number() OVER (PARTITION BY ordinal ORDER BY step DESC) = 1")
 def latest_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = steps(spark, sf_dir).groupBy("ordinal").agg(F.max_by(F.struct("step", "event_id", "witness"), "step").alias("x"))
@@ -196,23 +133,6 @@ def prefix_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps(spark, sf_dir).groupBy("ordinal").agg(F.sha2(F.array_join(ordered, ","), 256).alias("digest"), F.count(F.lit(1)).alias("steps"))
 
 
-@query(
-    SIMILAR_SQL
-    + f""", w AS (SELECT DISTINCT item_id, substr(dna, start, 6) AS word FROM (SELECT item_id, dna, unnest(range(1, length(dna) - 4)) AS start FROM (SELECT item_id, {DNA_SQL} AS dna FROM benchmark) WHERE length(dna) >= 6)),
-n AS (SELECT x.item_id AS a, y.item_id AS b, count(*) AS n FROM w x JOIN w y USING (word) WHERE x.item_id % 50 = 0 AND x.item_id <> y.item_id GROUP BY ALL),
-p AS (SELECT a, b FROM n QUALIFY row_number() OVER (PARTITION BY a ORDER BY n DESC, b) <= 8),
-e AS (SELECT a, max(distance) AS bound, count(*) AS wanted FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY distance, b) AS place FROM d) WHERE place <= 5 GROUP BY a),
-m AS (SELECT * FROM (SELECT d.*, row_number() OVER (PARTITION BY d.a ORDER BY distance, d.b) AS place FROM d JOIN p USING (a, b)) WHERE place <= 5)
-SELECT e.a, wanted, count(*) FILTER (distance <= bound) AS found, count(*) FILTER (distance <= bound) / wanted AS recall FROM e LEFT JOIN m USING (a) GROUP BY e.a, wanted"""
-)
-def neighbor_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight candidates a reference by shared words, ranked exactly, against the exact five nearest."""
-    rows = preparations(spark, sf_dir)
-    asked = rows.where("item_id % 50 = 0")
-    every = similar.distances(asked, rows, "item_id", ["n_nt", "gc"], "dna").select("a", "b", "distance")
-    return similar.audited(similar.proposed(asked, rows, "item_id", "dna", 6, 8), every, 5)
-
-
 @query(
     """WITH s AS (SELECT * FROM part WHERE p_partkey = 0) SELECT p.p_partkey FROM part p, s WHERE p.p_type = s.p_type AND p.p_brand = s.p_brand AND p.p_name <> s.p_name"""
 )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import dna
 from ..operators import bounded, enumerate as domains, lineage, pool, scan
+from ..operators.composition import product_nodes
 from .tables import DNA_SQL, IUPAC_SQL, document_dna, item_dna, item_symbols, table
 
 NICK_AGENTS = [("nick-a", "GAGTC", "top", 6), ("nick-b", "CCTAGG", "top", 1), ("nick-c", "GCNATC", "bottom", 2)]
@@ -64,6 +65,11 @@ SELECT doc_id, agent_id, orientation, start, {columns} FROM h"""
 NATIVE_SQL = "CASE agent_id " + " ".join(f"WHEN '{i}' THEN '{s}'" for i, _, s, _ in NICK_AGENTS) + " END"
 
 
+def words_sql(table_name: str, size: int) -> str:
+    """The distinct words of all windows of a table's sequences."""
+    return f"SELECT DISTINCT substr(dna, start, {size}) AS word FROM (SELECT dna, unnest(range(1, length(dna) - {size - 2})) AS start FROM (SELECT {DNA_SQL} AS dna FROM {table_name}) WHERE length(dna) >= {size})"
+
+
 @query(
     site_sql(
         [(i, m, c, c) for i, m, _, c in NICK_AGENTS],
@@ -124,11 +130,12 @@ def motif_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT symbol, bases, length(bases) AS n_bases FROM (VALUES ('A','A'),('C','C'),('G','G'),('T','T'),('R','AG'),('Y','CT'),('S','CG'),('W','AT'),
-('K','GT'),('M','AC'),('B','CGT'),('D','AGT'),('H','ACT'),('V','ACG'),('N','ACGT')) t(symbol, bases)"""
+    f"""SELECT DISTINCT symbol, bases, length(bases) AS n_bases FROM (SELECT unnest(string_split({IUPAC_SQL}, '')) AS symbol FROM benchmark) JOIN (VALUES ('A','A'),('C','C'),('G','G'),('T','T'),('R','AG'),('Y','CT'),('S','CG'),('W','AT'),
+('K','GT'),('M','AC'),('B','CGT'),('D','AGT'),('H','ACT'),('V','ACG'),('N','ACGT')) t(symbol, bases) USING (symbol)"""
 )
 def iupac_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    symbols = spark.createDataFrame([(s,) for s in dna.SYMBOLS], "symbol string")
+    """The bases of every symbol that the items use."""
+    symbols = item_symbols(spark, sf_dir).select(F.explode(F.array_distinct(F.split("seq", ""))).alias("symbol")).where("symbol <> ''").distinct()
     bases = F.array_join(domains.bases_of(F.get(dna.masks(F.col("symbol")), 0)), "")
     return symbols.select("symbol", bases.alias("bases"), F.length(bases).alias("n_bases"))
 
@@ -269,26 +276,6 @@ def pairing_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(
-    """WITH b(i) AS (VALUES (0), (1), (2), (3)), exact AS (SELECT 'ACGTAC' AS arm),
-one AS (SELECT 1 AS mismatches, substr(arm, 1, p) || x || substr(arm, p + 2) AS arm, p AS p1, -1 AS p2 FROM exact, range(0, 6) t(p), (VALUES ('A'),('C'),('G'),('T')) v(x) WHERE x <> substr(arm, p + 1, 1)),
-two AS (SELECT 2, substr(one.arm, 1, p) || x || substr(one.arm, p + 2), p1, p FROM one, exact, range(0, 6) t(p), (VALUES ('A'),('C'),('G'),('T')) v(x) WHERE p > p1 AND x <> substr(exact.arm, p + 1, 1)),
-al AS (SELECT 0 AS mismatches, arm, -1 AS p1, -1 AS p2 FROM exact UNION ALL SELECT * FROM one UNION ALL SELECT * FROM two)
-SELECT mismatches, arm, row_number() OVER (ORDER BY mismatches, p1, p2, arm) - 1 AS rank FROM al"""
-)
-def foldback_arm_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The exact arm, then arms with one and with two replaced bases: position order, then base order."""
-    arm = "ACGTAC"
-    places = spark.createDataFrame([(i, b) for i, own in enumerate(arm) for b in "ACGT" if b != own], "p int, x string")
-    edit = lambda text, p, x: F.concat(F.substring(text, F.lit(1), p), x, F.substring(text, p + 2, F.lit(99)))
-    exact = spark.createDataFrame([(0, arm, -1, -1)], "mismatches int, arm string, p1 int, p2 int")
-    one = places.select(F.lit(1).alias("mismatches"), edit(F.lit(arm), F.col("p"), F.col("x")).alias("arm"), F.col("p").alias("p1"), F.lit(-1).alias("p2"))
-    two = one.join(places, F.col("p") > F.col("p1")).select(F.lit(2).alias("mismatches"), edit(F.col("arm"), F.col("p"), F.col("x")).alias("arm"), "p1", F.col("p").alias("p2"))
-    every = exact.unionByName(one).unionByName(two)  # C(6,k) 3^k rows
-    order = Window.orderBy("mismatches", "p1", "p2", "arm")
-    return every.select("mismatches", "arm", (F.row_number().over(order) - 1).alias("rank"))
-
-
 @query(
     f"""WITH d AS (SELECT doc_id, {DNA_SQL} AS dna FROM documents), w AS (
  SELECT doc_id, start, length(dna) AS n FROM (SELECT doc_id, dna, unnest(range(0, length(dna) - 3)) AS start FROM d WHERE length(dna) >= 4) WHERE substr(dna, start + 1, 4) = 'AAGC'),
@@ -317,37 +304,40 @@ def nick_placements(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def candidate_space(spark: SparkSession) -> DataFrame:
-    """4-base left arms against two right arms, in traversal order."""
-    left = domains.words_of(spark, 4).select(F.col("rank").alias("i"), F.col("word").alias("left_arm"))
-    right = spark.createDataFrame([(0, "ACGT"), (1, "GGAT")], "j int, right_arm string")
-    return left.crossJoin(F.broadcast(right)).withColumn("ordinal", F.col("i") * 2 + F.col("j"))
+def candidate_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Left arms, the words of four bases of the items, against right arms, the part names of four bases, in order."""
+    left = scan.distinct_words(item_dna(spark, sf_dir), "dna", 4).withColumnRenamed("word", "left_arm")
+    right = table(spark, sf_dir, "part").select(dna.dna_view(F.col("p_name")).alias("right_arm")).where(F.length("right_arm") == 4).distinct()
+    return product_nodes({"left_arm": left, "right_arm": right}, 1 << 30).drop("space_size")  # 4 ** 4 words a side at most
 
 
-CANDIDATE_SQL = """
-WITH b(x) AS (VALUES ('A'),('C'),('G'),('T')), l AS (SELECT w.x || v.x || u.x || t.x AS left_arm FROM b w, b v, b u, b t),
-li AS (SELECT left_arm, row_number() OVER (ORDER BY left_arm) - 1 AS i FROM l), s AS (SELECT i * 2 + j AS ordinal, left_arm, right_arm FROM li, (VALUES (0, 'ACGT'), (1, 'GGAT')) r(j, right_arm)),
+CANDIDATE_SQL = f"""
+WITH li AS (SELECT word AS left_arm, row_number() OVER (ORDER BY word) - 1 AS i FROM ({words_sql('benchmark', 4)})),
+r AS (SELECT right_arm, row_number() OVER (ORDER BY right_arm) - 1 AS j FROM (SELECT DISTINCT {DNA_SQL.replace('text', 'p_name')} AS right_arm FROM part) WHERE length(right_arm) = 4),
+s AS (SELECT i * (SELECT count(*) FROM r) + j AS ordinal, left_arm, right_arm FROM li, r),
 e AS (SELECT *, (SELECT count(*) FROM range(1, 5) t(k) WHERE substr(left_arm, k, 1) || substr(reverse(right_arm), k, 1) IN ('AT','TA','CG','GC')) AS paired FROM s WHERE ordinal < 400),
-h AS (SELECT *, paired >= 3 AS ok FROM e)"""
+h AS (SELECT *, paired >= 2 AS ok FROM e)"""
 
 
-def candidates(spark: SparkSession) -> bounded.Search:
+def candidates(spark: SparkSession, sf_dir: str) -> bounded.Search:
     paired = F.size(
         F.filter(F.zip_with(F.split("left_arm", ""), F.split(F.reverse("right_arm"), ""), lambda a, b: F.concat(a, b)), lambda x: x.isin("AT", "TA", "CG", "GC"))
     )
-    space = candidate_space(spark).withColumn("paired", paired)
-    blockers = F.array_compact(F.array(F.when(F.col("paired") < 3, F.lit("pairing"))))
+    space = candidate_space(spark, sf_dir).withColumn("paired", paired)
+    blockers = F.array_compact(F.array(F.when(F.col("paired") < 2, F.lit("pairing"))))
     return bounded.bounded_search(space, "ordinal", blockers, [F.col("paired").desc(), F.col("left_arm"), F.col("right_arm")], 400, 10)
 
 
 @query(CANDIDATE_SQL + " SELECT left_arm, right_arm, paired, hit FROM (SELECT *, row_number() OVER (ORDER BY paired DESC, left_arm, right_arm) AS hit FROM h WHERE ok) WHERE hit <= 10")
 def basal_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candidates(spark).hits.select("left_arm", "right_arm", "paired", "hit")
+    return candidates(spark, sf_dir).hits.select("left_arm", "right_arm", "paired", "hit")
 
 
-@query(CANDIDATE_SQL + " SELECT (SELECT count(*) FROM s) AS space_size, count(*) AS examined, count(*) FILTER (ok) AS observed, 'truncated' AS status, CASE WHEN count(*) FILTER (ok) > 10 THEN 'nodes,hits' ELSE 'nodes' END AS truncated_by FROM h")
+@query(CANDIDATE_SQL + " SELECT (SELECT count(*) FROM s) AS space_size, count(*) AS examined, count(*) FILTER (ok) AS observed,"
+    " CASE WHEN (SELECT count(*) FROM s) > 400 OR count(*) FILTER (ok) > 10 THEN 'truncated' WHEN count(*) FILTER (ok) > 0 THEN 'complete' ELSE 'infeasible' END AS status,"
+    " concat_ws(',', CASE WHEN (SELECT count(*) FROM s) > 400 THEN 'nodes' END, CASE WHEN count(*) FILTER (ok) > 10 THEN 'hits' END) AS truncated_by FROM h")
 def search_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candidates(spark).summary
+    return candidates(spark, sf_dir).summary
 
 
 @query(f"WITH s AS (SELECT DISTINCT {DNA_SQL} AS dna FROM documents) SELECT DISTINCT substr(dna, 3, 6) AS word FROM s WHERE length(dna) >= 8")
@@ -355,11 +345,6 @@ def window_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return domains.window_words(document_dna(spark, sf_dir), "dna", 2, 8)
 
 
-def words_sql(table_name: str, size: int) -> str:
-    """The distinct words of all windows of a table's sequences."""
-    return f"SELECT DISTINCT substr(dna, start, {size}) AS word FROM (SELECT dna, unnest(range(1, length(dna) - {size - 2})) AS start FROM (SELECT {DNA_SQL} AS dna FROM {table_name}) WHERE length(dna) >= {size})"
-
-
 def two_sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Words of six bases in the documents and in the benchmark items."""
     return scan.distinct_words(document_dna(spark, sf_dir), "dna", 6), scan.distinct_words(item_dna(spark, sf_dir), "dna", 6)
@@ -415,9 +400,14 @@ def rank_window_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return domains.rank_parts(scan.distinct_words(document_dna(spark, sf_dir), "dna", 8), "word", 1000, 9000, 7)
 
 
-@query("SELECT a AS c0, b AS c1, c AS c2, a + b + c AS total, row_number() OVER (ORDER BY a + b + c, a, b, c) - 1 AS rank FROM range(0, 6) x(a), range(0, 5) y(b), range(0, 4) z(c)")
+@query(
+    """WITH n AS (SELECT count(DISTINCT p_size) AS i, count(DISTINCT p_brand) AS j, count(DISTINCT p_type) AS k FROM part), x AS (SELECT unnest(range(0, i)) AS a FROM n), y AS (SELECT unnest(range(0, j)) AS b FROM n), z AS (SELECT unnest(range(0, k)) AS c FROM n)
+SELECT a AS c0, b AS c1, c AS c2, a + b + c AS total, row_number() OVER (ORDER BY a + b + c, a, b, c) - 1 AS rank FROM x, y, z"""
+)
 def grid_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return domains.grid(spark, [6, 5, 4])
+    """The grid of the parts' sizes, brands and types, by displacement."""
+    sizes = table(spark, sf_dir, "part").agg(*[F.countDistinct(c) for c in ("p_size", "p_brand", "p_type")]).first()
+    return domains.grid(spark, list(sizes))
 
 
 @query("SELECT event_type, event_id, row_number() OVER (ORDER BY turn, event_type) - 1 AS rank FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS turn FROM events)")
@@ -456,11 +446,17 @@ def domain_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ends.select("p_type", F.explode(marks).alias("mark"))
 
 
-@query("SELECT rank, word FROM (SELECT row_number() OVER (ORDER BY a || b || c) - 1 AS rank, 'AC' || a || b || c AS word FROM (VALUES ('A'),('C'),('G'),('T')) x(a), (VALUES ('A'),('C'),('G'),('T')) y(b), (VALUES ('A'),('C'),('G'),('T')) z(c)) WHERE rank >= 20 AND rank < 30")
+@query(
+    f"""WITH s AS (SELECT item_id, seq, unnest(range(0, length(seq))) AS i FROM (SELECT item_id, {IUPAC_SQL} AS seq FROM benchmark)), m(sym, bases) AS (VALUES ('A','A'),('C','C'),('G','G'),('T','T'),('R','AG'),('Y','CT'),('N','ACGT')),
+c AS (SELECT item_id, i, bases, CAST(least(1e18, coalesce(product(length(bases)) OVER (PARTITION BY item_id ORDER BY i DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1)) AS BIGINT) AS stride FROM s JOIN m ON m.sym = substr(seq, i + 1, 1)),
+r AS (SELECT item_id, unnest(range(20, CAST(least(30, product(length(bases))) AS BIGINT))) AS rank FROM c GROUP BY item_id)
+SELECT item_id, rank, string_agg(substr(bases, CAST((rank // stride) % length(bases) + 1 AS BIGINT), 1), '' ORDER BY i) AS word FROM r JOIN c USING (item_id) GROUP BY item_id, rank"""
+)
 def domain_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of length 5 that start with AC: the page of ten from rank 20."""
-    page = spark.range(20, 30).withColumnRenamed("id", "rank")
-    return page.select("rank", F.concat(F.lit("AC"), domains.unrank(F.array(*[F.lit(15)] * 3), F.col("rank"))).alias("word"))
+    """Of the words that each whole item stands for: the page of ten from rank 20."""
+    items = item_symbols(spark, sf_dir).where("seq <> ''").withColumn("_size", dna.cardinality(F.substring(F.reverse("seq"), 1, 40)))  # more than 30 words are as good as any
+    page = items.where("_size > 20").withColumn("rank", F.explode(F.sequence(F.lit(20).cast("long"), F.least(F.col("_size"), F.lit(30)).cast("long") - 1)))
+    return page.select("item_id", "rank", domains.unrank(dna.masks(F.col("seq")), F.col("rank")).alias("word"))
 
 
 FRAGMENT_SQL = f"""
