@@ -6,12 +6,14 @@ exact place; neighbouring diagonals, which words put in or left out pull apart,
 span is verified by the share of the template's k-grams that it holds.  A template's k-grams are bits, so a diagonal
 and a span have a fixed size, however often a phrase is repeated.
 
-Defined results: a null text is empty; a row is a document, and repeated rows give equal results; ids may
+Defined results: a template of fewer than three words has no k-gram and is never found; a null text is empty; a row is a document, and repeated rows give equal results; ids may
 be null; without labels the label strings are empty; other columns are left out.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .shared import ascii_lower, order_id, table
@@ -78,6 +80,11 @@ def scan_words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(ascii_lower(text), F.lit("")), NOT_WORD, -1), "")
 
 
+def word_count(text: str) -> int:
+    """How many words ``scan_words`` finds in a template."""
+    return len([w for w in re.split(NOT_WORD, text) if w])
+
+
 def grams(df: DataFrame, keys: list[str], words: str) -> DataFrame:
     """(keys, at, a, b, c): each run of three words and its start, from 0."""
     w = F.col(words)
@@ -103,13 +110,14 @@ def license_spans(docs: DataFrame, base: list = BASE_PHRASES, notices: list = NO
     """
     spark = docs.sparkSession
     known = templates(spark, base, notices)
-    if sum(len(text.split()) for _, text in [*base, *notices]) <= BROADCAST_GRAMS:
+    sizes = [word_count(text) for _, text in [*base, *notices]]
+    if sum(sizes) <= BROADCAST_GRAMS:
         known = F.broadcast(known)
     rows = docs.select(order_id().alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), scan_words(F.col("text")).alias("words"))
     rolling = grams(rows, ["id", "th"], "words").withColumn("gram", F.xxhash64("a", "b", "c"))
     known = known.withColumn("gram", F.xxhash64("a", "b", "c"))
     hits = rolling.join(known, ["gram", "a", "b", "c"])
-    marks = [f"m{i}" for i in range(1 + max(len(text.split()) for _, text in [*base, *notices]) // 64)]
+    marks = [f"m{i}" for i in range(1 + max(sizes, default=0) // 64)]
     own_bit = F.expr("shiftleft(1L, t_at % 64)")
     bits = [F.bit_or(F.when(F.floor(F.col("t_at") / 64) == i, own_bit).otherwise(F.lit(0).cast("long"))).alias(m) for i, m in enumerate(marks)]
     held = lambda: sum((F.bit_count(m) for m in marks[1:]), F.bit_count(marks[0]))
