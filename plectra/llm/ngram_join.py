@@ -1,12 +1,11 @@
 """N-gram Jaccard join by MinHash banding.
 
 Texts with equal shingle sets form one class.  Band and row counts are chosen for the target recall at
-the threshold.  Classes that share a band hash are candidates.  Candidates are joined to components; within
-one of at most ``block`` classes every pair is verified on the full sets.  A larger one is verified by its band
-buckets where these hold fewer pairs than the whole (chance hits join components), each pair in the first band it shares,
-else as a whole; either goes in blocks, so no pair is lost to a bucket's size and no pair becomes a row.  Both find each
-candidate pair that reaches the threshold.  Each block returns a class's links and the least class it is linked to, which
-joins linked classes to near-duplicate groups.
+the threshold.  Two classes that share a band hash are candidates, and linked if their full sets reach the threshold; how many
+other classes are near does not matter.  Candidates are joined to components.  One of at most ``block`` classes is verified as a
+whole, a larger one by its band buckets where these hold fewer pairs than the whole (chance hits join components), each pair in the
+first band it shares; either goes in blocks, so no pair is lost to a bucket's size and no pair becomes a row.  Each block
+returns a class's links and the least class it is linked to, which joins linked classes to near-duplicate groups.
 
 Defined results: a null or empty text and one without words has no shingles and no links, not even to its
 like; a text of fewer than five words has one shingle; equal rows are two documents; ids may be null
@@ -104,19 +103,21 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray], width: int =
 
 
 def verify_group(
-    reps: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float, earlier: np.ndarray
+    reps: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float, keys: np.ndarray, band: int
 ):
     """(links, root) of each class, of the pairs between ``left`` and ``right`` places (or within one of them).
 
-    A pair that agrees in a column of ``earlier``, the hashes of the bands before this one, is counted there.
+    ``keys`` are the classes' band hashes.  In a bucket, a pair that agrees in a band before ``band`` is counted there; in
+    a whole component (band -1) a pair that agrees in no band is no candidate.
     """
     sizes = np.array([len(s) for s in sets], np.float64)
     a, b = [sets[i] for i in left], [sets[i] for i in right]
     shared = intersections(a, b).astype(np.float64)
     # shared / (a + b - shared) >= threshold; a hair is given for rounding
     hit = shared * (1 + threshold) >= threshold * (sizes[left][:, None] + sizes[right][None, :]) - 1e-9
-    for column in earlier.T:
-        hit &= column[left][:, None] != column[right][None, :]
+    one, other = np.nonzero(hit)
+    agrees = keys[left][one] == keys[right][other]
+    hit[one, other] = agrees.any(axis=1) if band < 0 else ~agrees[:, :band].any(axis=1)
     same = left is right
     if same:
         np.fill_diagonal(hit, False)
@@ -150,8 +151,7 @@ def verify_bin(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
         left, right = everyone, everyone
         if bi[a] != bj[a]:
             left, right = np.flatnonzero(blk[a:b] == bi[a]), np.flatnonzero(blk[a:b] == bj[a])
-        earlier = np.stack(keys[a:b])[:, : bands[a]] if bands[a] > 0 else np.zeros((b - a, 0), np.int64)
-        links, root = verify_group(reps[a:b], copies[a:b], sets, left, right, threshold, earlier)
+        links, root = verify_group(reps[a:b], copies[a:b], sets, left, right, threshold, np.stack(keys[a:b]), int(bands[a]))
         out.append((reps[a:b][links > 0], links[links > 0], root[links > 0]))
     return pd.DataFrame({name: np.concatenate([x[i] for x in out]) for i, name in enumerate(("rep", "links", "root"))})
 
@@ -159,13 +159,11 @@ def verify_bin(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
 def verification_units(banded: DataFrame, buckets: DataFrame, groups: DataFrame, keys: DataFrame, block: int) -> DataFrame:
     """(id, unit, n, band, keys): the sets of classes whose pairs are verified, and their sizes.
 
-    A unit is a component (band -1, no keys), or one of the band buckets of a component of more than ``block`` classes whose
+    A unit is a component (band -1), or one of the band buckets of a component of more than ``block`` classes whose
     buckets hold fewer pairs.  Of buckets with the same members only that of the first band is a unit.
     """
     sizes = write_table(groups.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    whole = groups.join(sizes, "root").select(
-        "root", "id", F.col("root").alias("unit"), "n", F.lit(-1).alias("band"), F.lit(None).cast("array<long>").alias("keys")
-    )
+    whole = groups.join(sizes, "root").join(keys, "id").select("root", "id", F.col("root").alias("unit"), "n", F.lit(-1).alias("band"), "keys")
     large = sizes.where(F.col("n") > block).withColumnRenamed("n", "n_all")
     if large.isEmpty():
         return whole.drop("root")
