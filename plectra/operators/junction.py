@@ -264,3 +264,18 @@ def strand_join(precursor_rows: DataFrame, route_rows: DataFrame, active: str, s
     both = left.crossJoin(F.broadcast(right))
     blocker = F.when(F.col("active") != F.col("surviving"), "continuous_strand_mismatch")
     return both.select("active", "surviving", "precursors", "routes", (F.col("precursors") * F.col("routes")).alias("pairs"), blocker.alias("blocker"))
+
+
+def pair_accounting(pairs: DataFrame, upstream: DataFrame, max_hits: int) -> DataFrame:
+    """One row of examined precursor and route pairs (space_size, blocker): counts, and every reason why there may be more.
+
+    ``upstream`` is one row: whether the precursors (_p) and the routes (_r) were cut.
+    """
+    found = pairs.agg(F.coalesce(F.max("space_size"), F.lit(0)).alias("available"), F.count(F.lit(1)).alias("examined"), F.count_if(F.col("blocker").isNull()).alias("observed"))
+    both = found.crossJoin(F.broadcast(upstream)).withColumn("returned", F.least("observed", F.lit(max_hits)).cast("long"))
+    tests = [
+        ("released_precursors", F.col("_p")), ("basal_routes", F.col("_r")), ("max_search_nodes", F.col("examined") < F.col("available")), ("max_hits", F.col("observed") > max_hits),
+    ]
+    cut = F.array_join(F.array_compact(F.array(*[F.when(t, F.lit(n)) for n, t in tests])), ",")
+    status = F.when(F.col("truncated_by") != "", "truncated").when(F.col("returned") > 0, "complete").otherwise("infeasible")
+    return both.withColumn("truncated_by", cut).withColumn("status", status).drop("_p", "_r")

@@ -85,3 +85,51 @@ def refined_signature(edges: DataFrame, labels: DataFrame, graph: str, rounds: i
     joined = sums.join(edge_sums, graph, "left").fillna({"contacts": 0})
     said = F.concat_ws("|", *[F.col(c).cast("string") for c in ("vertices", "_colours", "contacts")], F.coalesce("_edges", F.lit(0).cast("decimal(38,0)")).cast("string"))
     return joined.select(graph, "vertices", "contacts", F.sha2(said, 256).alias("signature"))
+
+
+def ancestry_runs(rows: DataFrame, keys: list[str], index: str, origin: str) -> DataFrame:
+    """Adds ``run``, numbered from 1 within ``keys``: neighbouring places whose origins go on by one, forward or backward.
+
+    A place begins a run if its origin is not beside the one before, or if the direction turns there.
+    """
+    order = Window.partitionBy(*keys).orderBy(index)
+    step = F.when(F.col(index) - F.lag(index).over(order) == 1, F.col(origin) - F.lag(origin).over(order))
+    stepped = rows.withColumn("_step", F.when(F.abs(step) == 1, step))
+    turn = F.lag("_step").over(order)
+    new = F.col("_step").isNull() | (turn.isNotNull() & (turn != F.col("_step")))
+    return stepped.withColumn("_new", new.cast("int")).withColumn("run", F.sum("_new").over(order)).drop("_step", "_new")
+
+
+def islands(rows: DataFrame, keys: list[str], index: str, origin: str) -> DataFrame:
+    """(keys, start, length, first_origin, direction) of each run; a run of one place has direction 0."""
+    runs = ancestry_runs(rows, keys, index, origin)
+    ends = runs.groupBy(*keys, "run").agg(F.min(index).alias("start"), F.count(F.lit(1)).alias("length"), F.min_by(origin, index).alias("first_origin"), F.max_by(origin, index).alias("_last"))
+    return ends.select(*keys, "start", "length", "first_origin", F.signum(F.col("_last") - F.col("first_origin")).cast("int").alias("direction"))
+
+
+def span_locations(anchors: DataFrame, target: DataFrame, keys: list[str], index: str, origin: str) -> DataFrame:
+    """(keys, first, last, start, stop, direction): where a whole span of origins (first to last) stands in the target without a gap.
+
+    Both ends of a span are looked up by origin, and stand in one run as far apart as the span is long.
+    """
+    runs = ancestry_runs(target, keys, index, origin).select(*keys, index, origin, "run")
+    end = lambda name: runs.select(*keys, F.col(origin).alias(name), F.col("run").alias(f"{name}_run"), F.col(index).alias(f"{name}_at"))
+    both = anchors.select(*keys, "first", "last").distinct().join(end("first"), [*keys, "first"]).join(end("last"), [*keys, "last"])
+    whole = (F.col("first_run") == F.col("last_run")) & (F.abs(F.col("last_at") - F.col("first_at")) == F.col("last") - F.col("first"))
+    return both.where(whole).select(
+        *keys, "first", "last", F.least("first_at", "last_at").alias("start"), (F.greatest("first_at", "last_at") + 1).alias("stop"),
+        F.signum(F.col("last_at") - F.col("first_at")).cast("int").alias("direction"),
+    )
+
+
+def correspondence(before: DataFrame, after: DataFrame, keys: list[str], index: str, origin: str) -> DataFrame:
+    """(keys, origin, reference, target, relation) of every origin of either state: ``retained`` where it stands once in both,
+    ``repeated`` where it stands more often in one, else ``unmapped_reference`` or ``unmapped_target``."""
+    side = lambda df, name: df.groupBy(*keys, origin).agg(F.min(index).alias(name), F.count(F.lit(1)).alias(f"n_{name}"))
+    both = side(before, "reference").join(side(after, "target"), [*keys, origin], "full").fillna(0, ["n_reference", "n_target"])
+    relation = (
+        F.when(F.col("n_target") == 0, "unmapped_reference").when(F.col("n_reference") == 0, "unmapped_target")
+        .when((F.col("n_reference") == 1) & (F.col("n_target") == 1), "retained").otherwise("repeated")
+    )
+    kept = lambda c: F.when(F.col("relation") == "retained", F.col(c))
+    return both.withColumn("relation", relation).select(*keys, origin, kept("reference").alias("reference"), kept("target").alias("target"), "relation")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .lineage import number_of
+
 Selections = dict[str, dict]
 
 
@@ -103,6 +105,18 @@ def families(pool: DataFrame, product: str, features: list[str]) -> DataFrame:
     )
 
 
+def feature_families(pool: DataFrame, product: str, features: list[str]) -> DataFrame:
+    """Products by the multiset of their features: how often a feature occurs counts as well.
+
+    Features are counted and their counts summed as digests, so a product with many options needs no list.
+    """
+    counts = pool.groupBy(product, *features).agg(F.count(F.lit(1)).alias("_n"))
+    cell = number_of(*[F.coalesce(F.col(f).cast("string"), F.lit("-")) for f in features], F.col("_n"))
+    products = counts.groupBy(product).agg(F.sum(cell).alias("_sum"), F.count(F.lit(1)).alias("features"), F.sum("_n").alias("records"))
+    named = products.withColumn("family_id", F.sha2(F.concat_ws("|", F.col("features").cast("string"), F.col("_sum").cast("string")), 256))
+    return named.groupBy("family_id").agg(F.count(F.lit(1)).alias("products"), F.sum("records").alias("records"), F.min(product).alias("first_product"))
+
+
 def option_sets(pool: DataFrame, shared: list[str], slot: str, required: list[str]) -> DataFrame:
     """Groups of equal shared properties: members, and the required slots none of them fills."""
     want = F.array(*[F.lit(r) for r in sorted(required)])
@@ -213,3 +227,34 @@ def survey_coverage(targets: DataFrame, steps: DataFrame) -> DataFrame:
         F.countDistinct(F.when(supported, F.col("right_word"))).alias("right_words"),
         F.count_if(~declared).alias("undeclared"),
     )
+
+
+def parameter_page(pool: DataFrame, key: str, declared: DataFrame, selections: Selections, page_size: int) -> DataFrame:
+    """(value, page, status, matching, complete, blocked_by): each declared value against the options that have it.
+
+    ``declared`` (value, rank).  A value is supported if an option passes all other selections, blocked by them if there are options
+    but none passes, and else has none recorded, which proves nothing.  ``blocked_by`` are the keys that rule options out.
+    """
+    others = {k: s for k, s in selections.items() if k != key}
+    rows = pool.select(F.col(key).alias("value"), failed(others).alias("_failed"))
+    blocked = [F.when(F.count_if(F.array_contains("_failed", k)) > 0, F.lit(k)) for k in sorted(others)]
+    found = rows.groupBy("value").agg(F.count_if(F.size("_failed") == 0).alias("matching"), F.count(F.lit(1)).alias("complete"), F.concat_ws(",", *blocked).alias("blocked_by"))
+    status = F.when(F.col("matching") > 0, "supported").when(F.col("complete") > 0, "blocked_by_selections").otherwise("no_complete_preparation_recorded")
+    joined = declared.join(found, "value", "left").fillna(0, ["matching", "complete"]).fillna("", ["blocked_by"])
+    return joined.select("value", F.floor(F.col("rank") / page_size).alias("page"), status.alias("status"), "matching", "complete", "blocked_by")
+
+
+def choice_axes(pool: DataFrame, axes: list[str], selections: Selections, declared: DataFrame) -> DataFrame:
+    """(axis, observed, offered, varying, observed_variation, fixed_by_request, domain_status) over the options that pass.
+
+    ``declared`` (axis, value) are the values a request permits; those and the observed ones are offered.
+    """
+    cells = F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).cast("string").alias("value")) for a in axes])
+    passing = pool.where(F.size(failed(selections)) == 0).select(F.inline(cells)).where("value IS NOT NULL").distinct().withColumn("o", F.lit(1))
+    both = passing.join(declared.distinct().withColumn("d", F.lit(1)), ["axis", "value"], "full").groupBy("axis")
+    found = both.agg(F.count("o").alias("observed"), F.count(F.lit(1)).alias("offered"), F.count("d").alias("n_declared"))
+    every = pool.sparkSession.createDataFrame([(a,) for a in axes], "axis string").join(found, "axis", "left").fillna(0)
+    return every.select(
+        "axis", "observed", "offered", (F.col("offered") > 1).alias("varying"), (F.col("observed") > 1).alias("observed_variation"),
+        (F.col("n_declared") == 1).alias("fixed_by_request"), F.when(F.col("n_declared") > 0, "declared").otherwise("observed_only").alias("domain_status"),
+    )

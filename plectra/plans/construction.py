@@ -81,14 +81,6 @@ def site_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.where(~F.col("word").rlike(scan.motif_pattern(["GANTC", "CCWGG"])))
 
 
-@query(
-    f"""WITH d AS (SELECT doc_id, {DNA_SQL} AS dna FROM documents), p AS (SELECT doc_id, dna, unnest(range(0, length(dna) - 4)) AS start FROM d WHERE length(dna) >= 5)
-SELECT doc_id, start FROM p WHERE substr(dna, start + 1, 5) = 'TATAT'"""
-)
-def span_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geometry.word_occurrences(document_dna(spark, sf_dir), ["doc_id"], "dna", "TATAT")
-
-
 @query("SELECT p_type, p_brand, count(*) AS rows, count(DISTINCT p_name) AS variants, sha256(string_agg(DISTINCT p_name, ';' ORDER BY p_name)) AS structural_class FROM part GROUP BY p_type, p_brand")
 def structural_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.collect_set("p_name")

@@ -48,14 +48,6 @@ def variant_query_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(said, ",").alias("reasons"), (F.size(said) == 0).alias("eligible"))
 
 
-@query(
-    """WITH p AS (SELECT p_name, string_agg(f, ';' ORDER BY f) AS features, sum(n) AS records FROM (SELECT p_name, p_type || '|' || p_brand AS f, count(*) AS n FROM part GROUP BY ALL) GROUP BY p_name)
-SELECT sha256(features) AS family_id, count(*) AS products, CAST(sum(records) AS BIGINT) AS records, min(p_name) AS first_product FROM p GROUP BY features"""
-)
-def families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pool.families(table(spark, sf_dir, "part"), "p_name", ["p_type", "p_brand"])
-
-
 @query(
     f"""WITH x AS (SELECT 'p_size' AS key, CAST(p_size AS BIGINT) AS value, ({T}) AS ok FROM part UNION ALL SELECT 'price_band', CAST(floor(p_retailprice / 100) AS BIGINT), ({T}) FROM part),
 c AS (SELECT key, value, count(*) AS recorded, count(*) FILTER (ok) AS eligible FROM x GROUP BY key, value)
@@ -195,12 +187,6 @@ def replay_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resumable.replay(rows, rows.withColumn("witness", altered))
 
 
-@query(f"WITH s AS ({STEPS_SQL}) SELECT ordinal % 4 AS part, count(DISTINCT ordinal) AS targets, count(*) AS steps, true AS disjoint FROM s GROUP BY ALL")
-def partition_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = steps(spark, sf_dir)
-    return resumable.combined(rows.withColumn("part", F.col("ordinal") % 4))
-
-
 SIGNATURE_SQL = """WITH c AS (SELECT DISTINCT l_orderkey, CAST(least(l_partkey, l_suppkey) AS VARCHAR) || '-' || CAST(greatest(l_partkey, l_suppkey) AS VARCHAR) AS e FROM lineitem)
 SELECT l_orderkey, sha256(string_agg(e, ';' ORDER BY e)) AS signature FROM c GROUP BY l_orderkey"""
 
