@@ -61,3 +61,12 @@ def composition_summary(disposed: DataFrame, max_nodes: int, max_accepted: int)
     cut = F.when(by_hits, "max_realizations").when(F.col("examined") < F.col("nominal"), "max_combinations")
     status = F.when(cut.isNotNull() | (F.col(TRUNCATED) > 0), "truncated").when(F.col(ACCEPTED) > 0, "complete").otherwise("infeasible")
     return found.withColumn("truncated_by", cut).withColumn("state", status)
+
+
+def addresses(rows: DataFrame, axes: dict[str, DataFrame]) -> DataFrame:
+    """Adds the ``ordinal`` of each row's combination in the product of the axes; a row off an axis has none."""
+    ordinal = F.lit(0).cast("long")
+    for name, axis in axes.items():
+        rows = rows.join(rank_within(axis.select(name), name, f"_{name}"), name, "left")
+        ordinal = ordinal * axis.count() + F.col(f"_{name}")
+    return rows.withColumn("ordinal", ordinal).drop(*[f"_{name}" for name in axes])

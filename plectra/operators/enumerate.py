@@ -41,6 +41,15 @@ def expand(df: DataFrame, keys: list[str], seq: str, budget: int) -> DataFrame:
     )
 
 
+def assignment_text(template: Column, word: Column) -> Column:
+    """``place=base; ...`` of a word's places that the template leaves open, counted from 1."""
+    cells = F.transform(
+        F.split(template, ""),
+        lambda s, i: F.when(~s.isin("A", "C", "G", "T", ""), F.concat((i + 1).cast("string"), F.lit("="), F.substring(word, i + 1, F.lit(1)))),
+    )
+    return F.array_join(F.array_compact(cells), "; ")
+
+
 def words_of(spark: SparkSession, size: int) -> DataFrame:
     """All words over ACGT of one length, with their rank."""
     domains = F.array(*[F.lit(15)] * size)

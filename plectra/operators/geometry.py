@@ -84,7 +84,7 @@ def preferred_first(words: DataFrame, preferred: DataFrame, word: str) -> DataFr
     no word of the set is an error of its own row: tier -1, no place."""
     marked = words.withColumn("_w", F.lit(1)).join(preferred.select(F.col(word)).distinct().withColumn("_p", F.lit(0)), word, "full")
     marked = marked.withColumn("tier", F.when(F.col("_w").isNull(), -1).otherwise(F.coalesce("_p", F.lit(1)))).drop("_w", "_p")
-    ranked = global_rank(marked.where("tier >= 0").withColumn("_key", F.concat(F.col("tier").cast("string"), word)), "_key", 5)
+    ranked = global_rank(marked.where("tier >= 0").withColumn("_key", F.concat(F.col("tier").cast("string"), word)), "_key")
     absent = marked.where("tier < 0").select(word, "tier", F.lit(None).cast("long").alias("place"))
     return ranked.select(word, "tier", F.col("rank").cast("long").alias("place")).unionByName(absent)
 

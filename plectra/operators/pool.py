@@ -258,3 +258,22 @@ def choice_axes(pool: DataFrame, axes: list[str], selections: Selections, declar
         "axis", "observed", "offered", (F.col("offered") > 1).alias("varying"), (F.col("observed") > 1).alias("observed_variation"),
         (F.col("n_declared") == 1).alias("fixed_by_request"), F.when(F.col("n_declared") > 0, "declared").otherwise("observed_only").alias("domain_status"),
     )
+
+
+def overhead_matrix(rows_searched: DataFrame, columns: DataFrame, found: DataFrame, row: str, column: str, cost: str, key: str) -> DataFrame:
+    """(row, column, least, rows, first_id, status) of the grid of two catalogues; ``rows_searched`` (row, whole) tells whether a
+    row's search was complete, so that a missing cell is infeasible, or was cut, so that it is unknown."""
+    best = found.groupBy(row, column).agg(F.min(cost).alias("least"), F.count(F.lit(1)).alias("rows"), F.min_by(key, F.struct(cost, key)).alias("first_id"))
+    grid = rows_searched.crossJoin(columns)  # two catalogues; Spark broadcasts one below its own threshold
+    state = F.when(F.col("rows").isNotNull(), "found").when(F.col("whole"), "infeasible").otherwise("unknown")
+    return grid.join(best, [row, column], "left").select(row, column, "least", F.coalesce("rows", F.lit(0)).alias("rows"), "first_id", state.alias("status"))
+
+
+def query_groups(pool: DataFrame, product: str, key: str, selections: Selections, focus: str) -> DataFrame:
+    """(product, eligible, excluded, first_option, focus_variants): a query's options by product; the variants of the region in
+    focus are those of options that pass all other selections."""
+    rows = pool.select(F.col(product).alias("product"), key, focus, failed(selections).alias("_failed"))
+    ok = F.size("_failed") == 0
+    open_ = ok | ((F.size("_failed") == 1) & (F.get("_failed", F.lit(0)) == focus))
+    variants = F.array_join(F.array_sort(F.collect_set(F.when(open_, F.col(focus)))), ",")  # a region's vocabulary
+    return rows.groupBy("product").agg(F.count_if(ok).alias("eligible"), F.count_if(~ok).alias("excluded"), F.min(F.when(ok, F.col(key))).alias("first_option"), variants.alias("focus_variants"))

@@ -50,17 +50,21 @@ def motif_pattern(motifs: list[str]) -> str:
     return "|".join("".join(f"[{BASES[s]}]" for s in m) for m in both)
 
 
-def windows(df: DataFrame, keys: list[str], seq: str, sizes: list[int], pattern: str | None = None) -> DataFrame:
-    """(keys, n_nt, size, start, word): every overlapping window of each size, of pieces that hold ``pattern``."""
-    over = max(sizes) - 1
+def pieces(df: DataFrame, keys: list[str], seq: str, over: int) -> DataFrame:
+    """(keys, n_nt, base, piece): a sequence in pieces that share ``over`` bases with the next one."""
 
-    def pieces(rows: DataFrame, text: str, starts: int, width: int) -> DataFrame:
+    def cut(rows: DataFrame, text: str, starts: int, width: int) -> DataFrame:
         at = F.sequence(F.lit(0), F.least(F.length(text), F.lit(starts)) - 1, F.lit(width))
-        cut = rows.where(F.length(text) > 0).select(*keys, "n_nt", "base", F.col(text).alias("whole"), F.explode(at).alias("_at"))
-        return cut.select(*keys, "n_nt", (F.col("base") + F.col("_at")).alias("base"), F.substring(F.col("whole"), F.col("_at") + 1, F.lit(width + over)).alias("piece"))
+        parts = rows.where(F.length(text) > 0).select(*keys, "n_nt", "base", F.col(text).alias("whole"), F.explode(at).alias("_at"))
+        return parts.select(*keys, "n_nt", (F.col("base") + F.col("_at")).alias("base"), F.substring(F.col("whole"), F.col("_at") + 1, F.lit(width + over)).alias("piece"))
 
     whole = df.select(*keys, F.length(seq).alias("n_nt"), F.lit(0).alias("base"), F.col(seq).alias("piece"))
-    fine = pieces(pieces(whole, "piece", 2**31 - 1, COARSE), "piece", COARSE, FINE)
+    return cut(cut(whole, "piece", 2**31 - 1, COARSE), "piece", COARSE, FINE)
+
+
+def windows(df: DataFrame, keys: list[str], seq: str, sizes: list[int], pattern: str | None = None) -> DataFrame:
+    """(keys, n_nt, size, start, word): every overlapping window of each size, of pieces that hold ``pattern``."""
+    fine = pieces(df, keys, seq, max(sizes) - 1)
     if pattern is not None:
         fine = fine.where(F.col("piece").rlike(pattern))
     sized = fine.withColumn("size", F.explode(F.array(*[F.lit(s) for s in sizes]))).where(F.length("piece") >= F.col("size"))
@@ -69,16 +73,21 @@ def windows(df: DataFrame, keys: list[str], seq: str, sizes: list[int], pattern:
 
 
 def distinct_words(df: DataFrame, seq: str, size: int) -> DataFrame:
-    """The distinct words of all windows of all sequences."""
-    return windows(df, [], seq, [size]).select("word").distinct()
+    """The distinct words of all windows of all sequences; a piece gives each of its words once."""
+    starts = F.sequence(F.lit(0), F.length("piece") - size)
+    words = F.array_distinct(F.transform(starts, lambda i: F.substring("piece", i + 1, F.lit(size))))
+    return pieces(df, [], seq, size - 1).where(F.length("piece") >= size).select(F.explode(words).alias("word")).distinct()
 
 
 def scan(df: DataFrame, keys: list[str], seq: str, words: DataFrame, sizes: list[int], pattern: str) -> DataFrame:
-    """Sites (keys, agent_id, orientation, start, first, second) whose two boundaries lie in the sequence."""
+    """Sites (keys, agent_id, orientation, start, first, second) whose two boundaries lie in the sequence.
+
+    A start lies in one piece, and words, agents and orientations are unique, so a row of ``df`` gives a site once.
+    """
     hits = windows(df, keys, seq, sizes, pattern).join(words, ["size", "word"])
     at = lambda c: F.col("start") + F.col(c)
     inside: Column = (F.least(at("first"), at("second")) >= 0) & (F.greatest(at("first"), at("second")) <= F.col("n_nt"))
-    return hits.where(inside).select(*keys, "agent_id", "orientation", "start", at("first").alias("first"), at("second").alias("second")).distinct()
+    return hits.where(inside).select(*keys, "agent_id", "orientation", "start", at("first").alias("first"), at("second").alias("second"))
 
 
 def scan_nicks(df: DataFrame, keys: list[str], seq: str, agents: list[tuple]) -> DataFrame:

@@ -12,22 +12,6 @@ from .tables import DNA_SQL, document_dna, item_dna, table
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
 
-@query(
-    f"""WITH s AS (SELECT item_id, substr({DNA_SQL}, 1, 8) AS dna FROM benchmark WHERE length({DNA_SQL}) >= 8), m(sym, mask) AS (VALUES ('A', 1), ('C', 2), ('G', 4), ('T', 8), ('R', 5), ('Y', 10), ('N', 15)),
-l AS (SELECT item_id, i AS c, mask FROM s, range(0, 8) t(i) JOIN m ON m.sym = substr('NNRYNNNN', i + 1, 1)
- UNION ALL SELECT item_id, i + 2, mask FROM s, range(0, 4) t(i) JOIN m ON m.sym = substr('RNYN', i + 1, 1)
- UNION ALL SELECT item_id, i, mask FROM s, range(0, 4) t(i) JOIN m ON m.sym = substr(dna, i + 1, 1)),
-g AS (SELECT item_id, c, bit_and(mask) AS mask FROM l GROUP BY item_id, c)
-SELECT item_id, count(*) AS coordinates, count(*) FILTER (mask = 0) AS conflicts, round(sum(CASE WHEN mask > 0 THEN log2(bit_count(mask)) ELSE 0 END), 6) AS log2_choices FROM g GROUP BY item_id"""
-)
-def processing_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A template, a motif laid at 2, and an item's first four bases, intersected by coordinate."""
-    items = item_dna(spark, sf_dir).where(F.length("dna") >= 8).select("item_id", F.substring("dna", 1, 4).alias("own"))
-    layer = lambda seq, at: geometry.coordinate_masks(items.withColumn("t", seq), ["item_id"], "t", F.lit(at))
-    layers = layer(F.lit("NNRYNNNN"), 0).unionByName(layer(F.lit("RNYN"), 2)).unionByName(layer(F.col("own"), 0))
-    return geometry.intersected(layers, ["item_id"])
-
-
 @query(
     """WITH c AS (SELECT p_type, p_size, count(*) AS examined, count(*) FILTER (p_retailprice < 1000) AS accepted FROM part GROUP BY ALL),
 r AS (SELECT *, CAST(sum(accepted) OVER (PARTITION BY p_type ORDER BY p_size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS so_far FROM c)

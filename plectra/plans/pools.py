@@ -102,20 +102,6 @@ def canonical_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pool.canonical_members(document_dna(spark, sf_dir), F.sha2("dna", 256), "doc_id").select("doc_id", "digest", "canonical", "duplicate")
 
 
-@query(
-    """WITH a AS (SELECT DISTINCT p_brand FROM part), t AS (SELECT DISTINCT p_type FROM part), r AS (SELECT p_brand, p_type, min(p_size) AS least, count(*) AS rows FROM part WHERE p_retailprice < 1000 GROUP BY p_brand, p_type)
-SELECT p_brand, p_type, least, coalesce(rows, 0) AS rows, CASE WHEN rows IS NULL THEN 'unknown' ELSE 'found' END AS status FROM a CROSS JOIN t LEFT JOIN r USING (p_brand, p_type)"""
-)
-def min_overhead_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole grid of two small axes; a missing cell is unknown, never infeasible."""
-    parts = table(spark, sf_dir, "part")
-    grid = parts.select("p_brand").distinct().crossJoin(F.broadcast(parts.select("p_type").distinct()))
-    found = parts.where("p_retailprice < 1000").groupBy("p_brand", "p_type").agg(F.min("p_size").alias("least"), F.count(F.lit(1)).alias("rows"))
-    return grid.join(found, ["p_brand", "p_type"], "left").select(
-        "p_brand", "p_type", "least", F.coalesce("rows", F.lit(0)).alias("rows"), F.when(F.col("rows").isNull(), "unknown").otherwise("found").alias("status")
-    )
-
-
 @query(
     """WITH o AS (SELECT p_partkey, p_type, p_brand, p_size FROM part), g AS (
  SELECT a.p_partkey AS first, b.p_partkey AS second, CASE WHEN a.p_brand <> b.p_brand THEN 'brand_differs' WHEN a.p_size = b.p_size THEN 'same_size' ELSE 'accepted' END AS outcome

@@ -140,26 +140,6 @@ def iupac_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return symbols.select("symbol", bases.alias("bases"), F.length(bases).alias("n_bases"))
 
 
-FIRST_WORD = r"regexp_extract(upper(coalesce(text, '')), '[ACGTRYSWKMBDHVN]+', 0)"
-
-
-@query(
-    f"""WITH RECURSIVE s AS (SELECT item_id, {FIRST_WORD} AS seq FROM benchmark),
-m(sym, bases) AS (VALUES ('A','A'),('C','C'),('G','G'),('T','T'),('R','AG'),('Y','CT'),('S','CG'),('W','AT'),('K','GT'),('M','AC'),('B','CGT'),('D','AGT'),('H','ACT'),('V','ACG'),('N','ACGT')),
-e(item_id, seq, i, word) AS (
-  SELECT item_id, seq, 0, '' FROM s WHERE length(seq) > 0
-  UNION ALL
-  SELECT e.item_id, e.seq, e.i + 1, e.word || b FROM (SELECT e.*, unnest(string_split(m.bases, '')) AS b FROM e JOIN m ON m.sym = substr(e.seq, e.i + 1, 1) WHERE e.i < length(e.seq)) e
-), f AS (SELECT item_id, word, row_number() OVER (PARTITION BY item_id ORDER BY word) - 1 AS variant, count(*) OVER (PARTITION BY item_id) AS n FROM e WHERE i = length(seq))
-SELECT item_id, 'expanded' AS status, variant, word FROM f WHERE n <= 256 UNION ALL SELECT DISTINCT item_id, 'over_budget', NULL, NULL FROM f WHERE n > 256"""
-)
-def iupac_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first symbolic run of each item; one that stands for more than 256 words is told as over the budget."""
-    run = F.regexp_extract(F.upper(F.coalesce("text", F.lit(""))), "[ACGTRYSWKMBDHVN]+", 0)
-    named = table(spark, sf_dir, "benchmark").select("item_id", run.alias("seq")).where("seq <> ''")
-    return domains.expand(named, ["item_id"], "seq", 256)
-
-
 @query(
     f"""WITH s AS (SELECT item_id, {IUPAC_SQL} AS seq FROM benchmark)
 SELECT item_id, length(seq) AS positions, CAST(sum_2 AS BIGINT) AS log2_size, (sum_2 > 8) AS blocked
@@ -172,24 +152,6 @@ def space_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return item_symbols(spark, sf_dir).select("item_id", F.length("seq").alias("positions"), size.cast("long").alias("log2_size"), (size > 8).alias("blocked"))
 
 
-@query(
-    f"""WITH p AS (SELECT item_id, substr({DNA_SQL}, 1, 6) AS head FROM benchmark),
-f(fold_id, arm) AS (VALUES ('f1', 'ACGT'), ('f2', 'GGCC'), ('f3', 'TTAA')), b(basal_id, basal) AS (VALUES ('b1', 'GC'), ('b2', 'CG')),
-x AS (SELECT item_id, fold_id, basal_id, basal || head || arm AS final, length(head) = 6 AS long_enough, position('GGCC' IN head || arm) > 0 AND arm <> 'GGCC' AS has_site FROM p, f, b)
-SELECT item_id, fold_id, basal_id, final, long_enough AND NOT has_site AS feasible, count(*) OVER (PARTITION BY final) AS copies FROM x"""
-)
-def design_space_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Payload by foldback by basal option: a stated axis of few options beside each payload row."""
-    fold = spark.createDataFrame([("f1", "ACGT"), ("f2", "GGCC"), ("f3", "TTAA")], "fold_id string, arm string")
-    base = spark.createDataFrame([("b1", "GC"), ("b2", "CG")], "basal_id string, basal string")
-    head = item_dna(spark, sf_dir).select("item_id", F.substring("dna", 1, 6).alias("head"))
-    rows = head.crossJoin(F.broadcast(fold)).crossJoin(F.broadcast(base))
-    site = F.concat("head", "arm").contains("GGCC") & (F.col("arm") != "GGCC")
-    return rows.select(
-        "item_id", "fold_id", "basal_id", F.concat("basal", "head", "arm").alias("final"), ((F.length("head") == 6) & ~site).alias("feasible")
-    ).withColumn("copies", F.count(F.lit(1)).over(Window.partitionBy("final")))
-
-
 @query(f"SELECT dna, min(doc_id) AS doc_id, count(*) AS copies FROM (SELECT doc_id, {DNA_SQL} AS dna FROM documents) GROUP BY dna")
 def dedupe_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pool.dedupe(document_dna(spark, sf_dir), "dna", "doc_id")
