@@ -32,6 +32,16 @@ def read_csv(spark: SparkSession, path: str, id_column: str, sequence_column: st
     return rows.select(F.col(id_column).alias("record_id"), normalized(F.col(sequence_column)).alias("sequence"))
 
 
+def limited(rows: DataFrame, max_records: int | None = None, max_bytes: int | None = None) -> DataFrame:
+    """``rows`` (record_id, sequence), if they keep to the limits; too many records or bytes are an error, never a cut."""
+    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("sequence").cast("long")), F.lit(0)).alias("b")).first()
+    if max_records is not None and facts.n > max_records:
+        raise ValueError(f"{facts.n} records are over the limit of {max_records}")
+    if max_bytes is not None and facts.b > max_bytes:
+        raise ValueError(f"{facts.b} bytes are over the limit of {max_bytes}")
+    return rows
+
+
 def collect_records(rows: DataFrame, policy: str) -> DataFrame:
     """Unique ids are required; equal sequences fail, keep the first, or stay."""
     if policy not in ("fail", "dedupe", "keep"):
@@ -56,7 +66,31 @@ def write_fasta(rows: DataFrame, record_id: str, sequence: str, path: str, width
 def write_csv(rows: DataFrame, path: str) -> None:
     """Nested columns go as JSON text."""
     flat = [F.to_json(c).alias(c) if kind.startswith(("array", "struct", "map")) else F.col(c) for c, kind in rows.dtypes]
-    rows.select(*flat).write.csv(path, header=True)
+    rows.select(*flat).write.csv(path, header=True, escape='"')
+
+
+def write_relations(relations: dict[str, DataFrame], folder: str) -> None:
+    """Each relation as CSV in a folder of its own name, and a manifest of their rows and columns; nothing is written over.
+
+    The manifest comes last, so that relations without one are not taken for a whole export.
+    """
+    facts = []
+    for name, rows in relations.items():
+        write_csv(rows, f"{folder}/{name}")
+        facts.append((name, rows.count(), ",".join(rows.columns)))
+    spark = next(iter(relations.values())).sparkSession
+    spark.createDataFrame(facts, "relation string, rows long, columns string").coalesce(1).write.json(f"{folder}/relations")
+
+
+def read_relations(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The relations of a whole export as text columns; one whose rows differ from the manifest's is an error."""
+    out = {}
+    for fact in spark.read.json(f"{folder}/relations").collect():  # one row a relation
+        rows = spark.read.csv(f"{folder}/{fact.relation}", header=True, schema=", ".join(f"`{c}` string" for c in fact["columns"].split(",")), escape='"', multiLine=True)
+        if rows.count() != fact.rows:
+            raise ValueError(f"{fact.relation} has not {fact.rows} rows")
+        out[fact.relation] = rows
+    return out
 
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
