@@ -145,14 +145,22 @@ def hash_sample(pool: DataFrame, key: str, seed: str, groups: list[str]) -> Data
 
 
 def guided_choice(pool: DataFrame, key: str, family: str, product: str, seen: DataFrame, seed: str) -> DataFrame:
-    """The next option: of an unvisited family, else an unvisited product, else any; then by hash."""
+    """The next option: of an unvisited family, else an unvisited product, else a product other than the last one seen, else any;
+    then by hash.  The last one seen has the greatest key."""
     families_, products = seen.select(F.col(family)).distinct(), seen.select(F.col(product)).distinct()
-    marked = pool.join(families_.withColumn("_f", F.lit(1)), family, "left").join(products.withColumn("_p", F.lit(1)), product, "left")
-    tier = F.when(F.col("_f").isNull(), 0).when(F.col("_p").isNull(), 1).otherwise(2)
+    last = seen.agg(F.max_by(F.col(product), F.col(key)).alias("_last"))  # one row
+    marked = pool.join(families_.withColumn("_f", F.lit(1)), family, "left").join(products.withColumn("_p", F.lit(1)), product, "left").crossJoin(F.broadcast(last))
+    tier = F.when(F.col("_f").isNull(), 0).when(F.col("_p").isNull(), 1).when(~F.col(product).eqNullSafe(F.col("_last")), 2).otherwise(3)
     ranked = marked.select(key, tier.alias("tier"), hash_rank(seed, F.col(key)).alias("rank"))
     return ranked.orderBy("tier", "rank").limit(1).select(key, "tier")
 
 
+def matching(pool: DataFrame, key: str, selections: Selections, members: DataFrame | None = None) -> DataFrame:
+    """The options that pass all selections and, if ``members`` (the key) are named, are among them."""
+    passing = pool.where(F.size(failed(selections)) == 0)
+    return passing if members is None else passing.join(members.select(key).distinct(), key, "left_semi")
+
+
 def stratified_rank(df: DataFrame, classes: list[str], order: list[Column]) -> DataFrame:
     """Rank within a class: sorted by it, every class gives its best before any gives its second."""
     return df.withColumn("stratum", F.row_number().over(Window.partitionBy(*classes).orderBy(*order)) - 1)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.dna import regional_difference
-from .scan import windows
 
 
 def scales(rows: DataFrame, shape: list[str]) -> DataFrame:
@@ -29,7 +28,7 @@ def sequence_distance(left: str, right: str):
 def distances(references: DataFrame, rows: DataFrame, key: str, shape: list[str], sequence: str) -> DataFrame:
     """(a, b, distance) of each stated reference against all rows: the mean of shape and sequence distance."""
     side = lambda df, s: df.select(F.col(key).alias(s), *[F.col(c).alias(f"{s}_{c}") for c in [*shape, sequence]])
-    # The references are a stated query set; each row is compared to every one of them, in blocks where they are many.
+    # The references are a stated query set, and each row is compared with every one of them: references x rows distances.
     pairs = side(rows, "b").crossJoin(side(references, "a")).where("a <> b").crossJoin(F.broadcast(scales(rows, shape)))  # one row
     distance = (shape_distance(shape) + sequence_distance(f"a_{sequence}", f"b_{sequence}")) / 2
     return pairs.select("a", "b", F.round(distance, 9).alias("distance"))
@@ -39,21 +38,3 @@ def neighbours(references: DataFrame, rows: DataFrame, key: str, shape: list[str
     """The k nearest of each reference by (distance, key)."""
     order = Window.partitionBy("a").orderBy("distance", "b")
     return distances(references, rows, key, shape, sequence).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
-
-
-def proposed(references: DataFrame, rows: DataFrame, key: str, sequence: str, size: int, most: int) -> DataFrame:
-    """(a, b): for each reference the ``most`` rows that share most distinct words of ``size`` with it."""
-    words = lambda df, name: windows(df.select(F.col(key).alias(name), sequence), [name], sequence, [size]).select(name, "word").distinct()
-    shared = words(references, "a").join(words(rows, "b"), "word").where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("a").orderBy(F.col("n").desc(), "b")
-    return shared.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("a", "b")
-
-
-def audited(proposals: DataFrame, every: DataFrame, k: int) -> DataFrame:
-    """Recall of the ``k`` nearest among proposals against the exact list; ties at its boundary count as found."""
-    order = Window.partitionBy("a").orderBy("distance", "b")
-    nearest = lambda df: df.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
-    bound = nearest(every).groupBy("a").agg(F.max("distance").alias("bound"), F.count(F.lit(1)).alias("wanted"))
-    mine = nearest(every.join(proposals, ["a", "b"], "left_semi"))
-    met = bound.join(mine, "a", "left").groupBy("a", "wanted", "bound").agg(F.sum((F.col("distance") <= F.col("bound")).cast("long")).alias("found"))
-    return met.select("a", "wanted", F.coalesce("found", F.lit(0)).alias("found"), (F.coalesce("found", F.lit(0)) / F.col("wanted")).alias("recall"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators import geometry, pool, scan
+from ..operators.lineage import number_of
 from .pools import ORACLE_SQL, QUERIES, STEPS_SQL, steps
 from .sequences import query, words_sql
 from .tables import DNA_SQL, document_dna, item_dna, table
@@ -65,12 +66,15 @@ def site_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.where(~F.col("word").rlike(scan.motif_pattern(["GANTC", "CCWGG"])))
 
 
-@query("SELECT p_type, p_brand, count(*) AS rows, count(DISTINCT p_name) AS variants, sha256(string_agg(DISTINCT p_name, ';' ORDER BY p_name)) AS structural_class FROM part GROUP BY p_type, p_brand")
+@query(
+    """WITH n AS (SELECT p_type, p_brand, p_name, count(*) AS n FROM part GROUP BY ALL)
+SELECT p_type, p_brand, CAST(sum(n) AS BIGINT) AS rows, count(*) AS variants, sha256(count(*) || '|' || sum(CAST(('0x' || substr(sha256(p_name), 1, 12)) AS BIGINT))) AS structural_class FROM n GROUP BY p_type, p_brand"""
+)
 def structural_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = F.collect_set("p_name")
-    return table(spark, sf_dir, "part").groupBy("p_type", "p_brand").agg(
-        F.count(F.lit(1)).alias("rows"), F.countDistinct("p_name").alias("variants"), F.sha2(F.array_join(F.array_sort(names), ";"), 256).alias("structural_class")
-    )
+    """Groups by the set of their names, of which digests are summed and none is listed."""
+    names = table(spark, sf_dir, "part").groupBy("p_type", "p_brand", "p_name").agg(F.count(F.lit(1)).alias("n"))
+    said = F.concat_ws("|", F.count(F.lit(1)).cast("string"), F.sum(number_of("p_name")).cast("string"))
+    return names.groupBy("p_type", "p_brand").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("variants"), F.sha2(said, 256).alias("structural_class"))
 
 
 @query(f"WITH s AS (SELECT item_id, sha256({DNA_SQL}) AS d, length({DNA_SQL}) AS n FROM benchmark) SELECT item_id, '{{\"n\":' || n || ',\"sha\":\"' || d || '\"}}' AS body, sha256('{{\"n\":' || n || ',\"sha\":\"' || d || '\"}}' || chr(10)) AS digest FROM s")
@@ -101,12 +105,11 @@ def steps_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps(spark, sf_dir).select("ordinal", "step", "event_id").orderBy("ordinal", "step").offset(100).limit(50)
 
 
-@query(f"WITH s AS ({STEPS_SQL}) SELECT ordinal, sha256(string_agg(event_id || ':' || witness, ',' ORDER BY step)) AS digest, count(*) AS steps FROM s GROUP BY ordinal")
+@query(f"WITH s AS ({STEPS_SQL}) SELECT ordinal, sha256(count(*) || '|' || sum(CAST(('0x' || substr(sha256(step || '|' || event_id || '|' || witness), 1, 12)) AS BIGINT))) AS digest, count(*) AS steps FROM s GROUP BY ordinal")
 def prefix_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A digest of each target's steps in order."""
-    cell = F.struct("step", F.concat_ws(":", F.col("event_id").cast("string"), F.col("witness").cast("string")).alias("x"))
-    ordered = F.transform(F.array_sort(F.collect_list(cell)), lambda c: c["x"])
-    return steps(spark, sf_dir).groupBy("ordinal").agg(F.sha2(F.array_join(ordered, ","), 256).alias("digest"), F.count(F.lit(1)).alias("steps"))
+    """A digest of each target's numbered steps; a step holds its number, so sums tell their order."""
+    said = F.concat_ws("|", F.count(F.lit(1)).cast("string"), F.sum(number_of("step", "event_id", "witness")).cast("string"))
+    return steps(spark, sf_dir).groupBy("ordinal").agg(F.sha2(said, 256).alias("digest"), F.count(F.lit(1)).alias("steps"))
 
 
 @query(

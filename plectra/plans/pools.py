@@ -83,7 +83,7 @@ def sample_hash_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH seen AS (SELECT * FROM part WHERE p_partkey < 40), m AS (SELECT p_partkey, CASE WHEN p_type NOT IN (SELECT p_type FROM seen) THEN 0 WHEN p_name NOT IN (SELECT p_name FROM seen) THEN 1 ELSE 2 END AS tier FROM part)
+    """WITH seen AS (SELECT * FROM part WHERE p_partkey < 40), m AS (SELECT p_partkey, CASE WHEN p_type NOT IN (SELECT p_type FROM seen) THEN 0 WHEN p_name NOT IN (SELECT p_name FROM seen) THEN 1 WHEN p_name <> (SELECT arg_max(p_name, p_partkey) FROM seen) THEN 2 ELSE 3 END AS tier FROM part)
 SELECT p_partkey, tier FROM m ORDER BY tier, sha256('seed-3:' || p_partkey) LIMIT 1"""
 )
 def guided_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,6 +92,13 @@ def guided_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pool.guided_choice(parts, "p_partkey", "p_type", "p_name", parts.where("p_partkey < 40"), "seed-3")
 
 
+@query(f"SELECT p_partkey, p_name FROM part WHERE {T} AND {S} AND {B} AND p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49)")
+def member_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that pass the selections and are named by a list: those sold in large lots."""
+    named = table(spark, sf_dir, "lineitem").where("l_quantity >= 49").select(F.col("l_partkey").alias("p_partkey"))
+    return pool.matching(table(spark, sf_dir, "part"), "p_partkey", SELECTIONS, named).select("p_partkey", "p_name")
+
+
 @query("SELECT p_partkey, p_type, row_number() OVER (PARTITION BY p_type, p_brand ORDER BY p_retailprice, p_partkey) - 1 AS stratum FROM part")
 def stratified_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pool.stratified_rank(table(spark, sf_dir, "part"), ["p_type", "p_brand"], [F.col("p_retailprice"), F.col("p_partkey")]).select("p_partkey", "p_type", "stratum")
