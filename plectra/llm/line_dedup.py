@@ -1,10 +1,10 @@
 """Line deduplication with levelled sorted runs of line hashes.
 
-Documents come in batches, largest ids first.  A batch's line keys are merge-anti-joined with the runs
-so far; keys not yet seen form the batch's own sorted run, with the id that first held them (the largest
-one, as batches descend).  Runs are disjoint, so compaction is a merge.  Beside the runs each batch leaves
-a tally of documents per key.  At the end a key is repeated if its tallies reach ``min_docs``; its lines
-stay only in the document that holds the key.
+Documents come in batches, largest ids first.  A batch's line keys, each with its number of documents, are merge-joined with the
+runs so far and form the batch's own sorted run: a key that no run has yet (the anti-joined part) brings the id that
+first held it (the largest one, as batches descend), one that is known brings its number alone.  Compaction merges the runs
+of a level into one of the next: numbers are added up, and a key has one holder.  At the end a key is repeated if its number
+reaches ``min_docs`` over all runs; its lines stay only in the document that holds the key.
 
 Defined results: a null or empty text is one empty line; a row is a document, so repeated rows count
 each; among rows that tie on the holding id all keep the line; a null id is below every other id; empty
@@ -36,36 +36,38 @@ def key_hashes(text: Column, min_chars: int) -> Column:
 
 
 class LineRuns:
-    """Levelled, disjoint sorted runs of (h1, h2, holder) and the tallies of (h1, h2, n_docs)."""
+    """Levelled sorted runs of (h1, h2, n_docs, holder), each key once a run; the holder stands in one run only."""
 
     def __init__(self, fanout: int = 3):
         self.fanout = fanout
         self.levels: list[list[DataFrame]] = [[]]
-        self.tallies: list[DataFrame] = []
 
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
 
     def add(self, keys: DataFrame) -> DataFrame:
         """Take a batch of (h1, h2, id), one row for each document and distinct key; return its new run."""
-        own = write_table(
-            keys.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("id").alias("holder")), "line-tally"
-        )
-        self.tallies.append(own.select("h1", "h2", "n_docs"))
-        fresh = own.select("h1", "h2", "holder")
-        for run in self.runs():
-            fresh = fresh.join(run.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
-        fresh = write_table(fresh.sortWithinPartitions("h1", "h2"), "line-run")
-        self.levels[0].append(fresh)
+        own = keys.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("id").alias("holder"))
+        fresh = F.lit(True)
+        for i, run in enumerate(self.runs()):
+            known = run.select("h1", "h2", F.lit(True).alias(f"seen{i}"))
+            own = own.join(known.hint("merge"), ["h1", "h2"], "left")
+            fresh = fresh & F.col(f"seen{i}").isNull()
+        own = own.select("h1", "h2", "n_docs", F.when(fresh, F.col("holder")).alias("holder"))
+        run = write_table(own.sortWithinPartitions("h1", "h2"), "line-run")
+        self.levels[0].append(run)
         self.compact()
-        return fresh
+        return run
+
+    def merged(self, runs: list[DataFrame]) -> DataFrame:
+        every = reduce(DataFrame.unionByName, runs)
+        return every.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("holder").alias("holder"))
 
     def compact(self) -> None:
         """Merge a full level into one run of the next."""
         for depth in range(len(self.levels)):
             if len(self.levels[depth]) >= self.fanout:
-                merged = reduce(DataFrame.unionByName, self.levels[depth])
-                merged = merged.repartition("h1", "h2").sortWithinPartitions("h1", "h2")
+                merged = self.merged(self.levels[depth]).sortWithinPartitions("h1", "h2")
                 if depth + 1 == len(self.levels):
                     self.levels.append([])
                 self.levels[depth + 1].append(write_table(merged, f"line-run-l{depth + 1}"))
@@ -73,9 +75,7 @@ class LineRuns:
 
     def repeated(self, min_docs: int) -> DataFrame:
         """(h1, h2, holder) of keys found in ``min_docs`` documents or more."""
-        tally = reduce(DataFrame.unionByName, self.tallies).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n"))
-        held = reduce(DataFrame.unionByName, self.runs())
-        return tally.where(F.col("n") >= min_docs).drop("n").join(held.hint("merge"), ["h1", "h2"])
+        return self.merged(self.runs()).where(F.col("n_docs") >= min_docs).drop("n_docs")
 
 
 def document_batches(docs: DataFrame, batches: int) -> list[DataFrame]:
