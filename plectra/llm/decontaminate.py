@@ -2,9 +2,10 @@
 
 A window has as many words as a benchmark item; a text of fewer words is one window as a whole.  Windows that hold a shingle of an item of their size are
 fingerprinted (any other has similarity 0 to all of them); votes of a window are differences of running
-sums.  A multi-index of ``RADIUS + 1`` blocks finds every item fingerprint within the radius: so few
-differing bits leave a block alike.  Candidates are verified by exact similarity of weighted shingles, a
-shingle's weight being its count: the sum of least weights over the sum of greatest.
+sums.  A window is asked of the items of its size that share a shingle with its text.  Fingerprints are cut into ``BLOCKS`` words of 64
+bits: two within the radius differ in at most ``RADIUS // BLOCKS`` bits of some word, so one word selects the candidates, of
+which chance makes few, and none within the radius is missed.  Candidates are verified by exact similarity of weighted
+shingles, a shingle's weight being its count: the sum of least weights over the sum of greatest.
 
 Defined results: null and empty texts match nothing, nor do items without words; an item of fewer than
 five words is one shingle; equal items match alike; ids may repeat or be null; other columns pass through
@@ -20,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bytetext import SHINGLE, U64, as_bytes, chunks, fold, mix, word_hashes, words
-from .shared import order_id, table, text_hash
+from .shared import order_id, table, text_hash, write_table
 
 THRESHOLD = 0.8
 RADIUS = 32
 BITS = 128
+BLOCKS = 2
+ITEMS = 4096
 SHARD_BYTES = 8 << 20
 FOUND = "doc_id long, th long, item_id long, similarity double, start_word long, n_words long, n_windows long"
 
@@ -45,14 +48,13 @@ def signed_bits(values: np.ndarray) -> np.ndarray:
     return np.unpackbits(pair.view(np.uint8), axis=1).astype(np.int16) * 2 - 1
 
 
-def block_keys(prints: np.ndarray) -> np.ndarray:
-    """The key of each block of each fingerprint, with the block's number."""
-    blocks = np.array_split(np.arange(BITS), RADIUS + 1)
-    return np.stack([(prints[:, b] @ (1 << np.arange(len(b)))) * len(blocks) + k for k, b in enumerate(blocks)], axis=1)
+def packed(prints: np.ndarray) -> np.ndarray:
+    """Fingerprints as words of 64 bits, a block each."""
+    return np.packbits(prints, axis=1).view(U64)
 
 
 class Items:
-    """A shard of the benchmark: shingles, fingerprints by size and their block index."""
+    """A shard of the benchmark: shingles and fingerprints of its items, and the items that hold each shingle."""
 
     def __init__(self, ids: list, texts: list):
         data, edges = as_bytes(pa.array(texts, pa.string()))
@@ -76,27 +78,23 @@ class Items:
             owner = np.repeat(who, [len(self.counted[i][0]) for i in who])
             order = np.argsort(value, kind="stable")
             self.known[n], self.owners[n] = value[order], owner[order]
-        self.index = {size: self.indexed(np.flatnonzero(np.array(self.sizes) == size)) for size in set(self.sizes)}
-
-    def indexed(self, items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(fingerprints, block keys in order, which has each, items) of the items of one size."""
-        prints = np.stack([self.prints[i] for i in items])
-        keys = block_keys(prints).ravel()
-        order = np.argsort(keys, kind="stable")
-        return prints, keys[order], order // (RADIUS + 1), items
-
-    def within(self, prints: np.ndarray, size: int) -> np.ndarray:
-        """(windows, items) whose fingerprints lie within the radius: each block's key is looked up in the index."""
-        theirs, keys, holder, items = self.index[size]
-        asked = block_keys(prints).ravel()
-        low, high = np.searchsorted(keys, asked, "left"), np.searchsorted(keys, asked, "right")
-        found = np.flatnonzero(high > low)
-        n = (high - low)[found]
-        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[found], n)
-        pair = np.unique(np.repeat(found // (RADIUS + 1), n) * len(items) + holder[place])
-        window, item = pair // len(items), pair % len(items)
-        near = (prints[window] != theirs[item]).sum(axis=1) <= RADIUS
-        return np.stack([window[near], items[item[near]]], axis=1)
+        self.blocks = packed(np.stack(self.prints)) if self.prints else np.zeros((0, BLOCKS), U64)
+
+    def candidates(self, prints: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, place in ``items``, distance) of the pairs of which some block is near enough."""
+        mine, theirs = packed(prints), self.blocks[items]
+        away = [np.bitwise_count(mine[:, None, b] ^ theirs[None, :, b]) for b in range(BLOCKS)]
+        window, place = np.nonzero(np.minimum.reduce(away) <= RADIUS // BLOCKS)
+        return window, place, sum(a[window, place].astype(np.int64) for a in away)
+
+    def within(self, prints: np.ndarray, items: np.ndarray) -> np.ndarray:
+        """(windows, items) whose fingerprints lie within the radius, of the items given."""
+        found = [np.zeros((0, 2), np.int64)]
+        for part in np.split(items, range(ITEMS, len(items), ITEMS)):
+            window, place, distance = self.candidates(prints, part)
+            near = distance <= RADIUS
+            found.append(np.stack([window[near], part[place[near]]], axis=1))
+        return np.concatenate(found)
 
     def similarity(self, values: np.ndarray, item: int) -> float:
         own, n = np.unique(values, return_counts=True)
@@ -152,7 +150,7 @@ def matches(items: Items, hashes: np.ndarray, counts: np.ndarray, threshold: flo
                     total = np.zeros((part[-1] + span - base + 1, BITS), np.int32)
                     np.cumsum(signed_bits(rolled[base : part[-1] + span]), axis=0, out=total[1:])
                     prints = total[part - base + span] - total[part - base] > 0
-                    for w, i in items.within(prints, int(size)):
+                    for w, i in items.within(prints, those):
                         item, s = int(i), int(part[w])
                         value = items.similarity(rolled[s : s + span], item)
                         if value >= threshold:
@@ -186,6 +184,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, s
             continue
         sent = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
         part = narrow.mapInArrow(leak_finder(sent, threshold), FOUND)
+        if shards > 1:  # one shard at a time is held
+            part = write_table(part, "leaks")
+            sent.unpersist()
         found = part if found is None else found.unionByName(part)
     return found if found is not None else spark.createDataFrame([], FOUND)
 

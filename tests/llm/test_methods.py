@@ -97,17 +97,38 @@ def test_op3_order(spark):
     assert [(r.text, r.next_text) for r in simhash.with_next(simhash.bucketed(one), ["id", "text"], ["text"]).collect()] == [(one.first().text,) * 2]
 
 
-def test_op10_index():
-    """The block index finds exactly the fingerprints within the radius."""
+def test_op10_blocks():
+    """The blocks find exactly the fingerprints within the radius, and chance pairs are few among the candidates."""
     rng = np.random.default_rng(1)
     words = [f"w{i}" for i in range(300)]
     items = decontaminate.Items(list(range(30)), [" ".join(rng.choice(words, 40)) for _ in range(30)])
     prints = np.concatenate([items.prints[:10], rng.integers(0, 2, (50, 128)).astype(bool)])
     for row in prints[5:40]:
         row[rng.choice(128, 33)] ^= True
-    got = {tuple(x) for x in items.within(prints, 40).tolist()}
+    every = np.arange(30)
+    got = {tuple(x) for x in items.within(prints, every).tolist()}
     want = {(w, i) for w in range(60) for i in range(30) if (prints[w] != items.prints[i]).sum() <= decontaminate.RADIUS}
     assert got == want and len(got) >= 5
+    assert {tuple(x) for x in items.within(prints, every[3:5]).tolist()} == {x for x in want if x[1] in (3, 4)}
+    chance = rng.integers(0, 2, (2000, 128)).astype(bool)
+    assert len(items.candidates(chance, every)[0]) < 0.01 * 2000 * 30
+
+
+def test_op10_recall_of_changed_items():
+    """Items with words changed, at similarities from 0.8 to 1, lie within the radius."""
+    rng = np.random.default_rng(7)
+    words = np.array([f"w{i}" for i in range(5000)])
+    near = asked = 0
+    for size in (15, 30, 60, 100):
+        for _ in range(200):
+            own = rng.choice(words, size)
+            other = own.copy()
+            other[rng.choice(size, rng.integers(1, max(2, size // 20)), replace=False)] = rng.choice(words)
+            pair = decontaminate.Items([0, 1], [" ".join(own), " ".join(other)])
+            if pair.similarity(pair.shingles[0], 1) >= decontaminate.THRESHOLD:
+                asked += 1
+                near += len(pair.within(np.stack(pair.prints[:1]), np.array([1])))
+    assert asked > 200 and near >= 0.995 * asked
 
 
 def test_op9_repeated_rows(spark):
