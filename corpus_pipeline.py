@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 ``documents``.  ``run`` writes each stage's rows as Parquet in the shared folder and rereads them.
+
+Defined results: a null or empty text goes through every stage that does not reject it, and packs as its end id; rows without an id are
+kept as others are; of rows that repeat an id and a text, the near-duplicate stage keeps one; extra columns pass through to the
+stage before packing; without labels no document is rejected for quality, without items none for leaks; an empty table gives no pieces.
 """
 
 from __future__ import annotations
