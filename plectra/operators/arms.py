@@ -16,8 +16,8 @@ from .enumerate import unrank
 MOST_REPLACED = 4
 BLOCK = 256
 # The codes of an arm's and a precursor's faults.
-ARM_CODES = ("HOP-FOLD-002", "HOP-FOLD-003", "HOP-FOLD-004")
-DOMAIN_CONFLICT, EXTRA_SITE = "HOP-CAND-001", "HOP-CAND-002"
+ARM_CODES = ("FOLD-002", "FOLD-003", "FOLD-004")
+DOMAIN_CONFLICT, EXTRA_SITE = "CAND-001", "CAND-002"
 
 
 def choose(n: Column, k: int) -> Column:

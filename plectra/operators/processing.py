@@ -8,7 +8,7 @@ from ..functions.dna import SYMBOLS, masks, reverse_complement, symbol_mask
 from .ranks import rank_within
 
 # Codes of a foldback's independent faults, in order, and of a release's.
-FOLD_CODES = tuple(f"HOP-FOLD-00{i}" for i in range(1, 7))
+FOLD_CODES = tuple(f"FOLD-00{i}" for i in range(1, 7))
 RELEASE_CODES = ("nick_outside_precursor", "cut_outside_precursor", "cut_not_downstream_of_nick", "incomplete_separation")
 #: Symbols in the order of their masks, none first.
 MASK_SYMBOLS = "-" + "".join(sorted(SYMBOLS, key=symbol_mask))

@@ -25,8 +25,8 @@ a AS (SELECT *, substr(dna, 1, k) AS tract, CASE WHEN item_id % 2 = 0 THEN rever
 f AS (SELECT *, list_filter(range(0, k), lambda i: substr(tract, i + 1, 1) <> substr(reverse(translate(arm, 'ACGT', 'TGCA')), i + 1, 1)) AS faults FROM a),
 e AS (SELECT *, list_concat(list_concat([-1], faults), [k]) AS e FROM f), r AS (SELECT *, list_transform(range(1, len(e)), lambda j: e[j + 1] - e[j] - 1) AS runs, length(dna) - k + {len(EXTENSION)} AS turn_nt, {len(EXTENSION)} + k AS added_nt FROM e)
 SELECT item_id, CAST(len(faults) AS BIGINT) AS mismatches, CAST(runs[1] AS BIGINT) AS terminal, CAST(list_max(runs) AS BIGINT) AS longest, CAST(added_nt AS BIGINT) AS added_nt, CAST(turn_nt AS BIGINT) AS turn_nt, sha256(dna || '{EXTENSION}' || arm) AS designed,
- concat_ws(',', CASE WHEN len(faults) > {FOLD['max_mismatches']} THEN 'HOP-FOLD-001' END, CASE WHEN len(list_filter(faults, lambda i: i >= 1 AND i < 4)) > 0 THEN 'HOP-FOLD-002' END, CASE WHEN runs[1] NOT BETWEEN {FOLD['terminal_min']} AND {FOLD['terminal_max']} THEN 'HOP-FOLD-003' END,
-  CASE WHEN list_max(runs) > {FOLD['max_run']} THEN 'HOP-FOLD-004' END, CASE WHEN added_nt > {FOLD['max_added']} THEN 'HOP-FOLD-005' END, CASE WHEN turn_nt <> {FOLD['turn_nt']} THEN 'HOP-FOLD-006' END) AS codes FROM r"""
+ concat_ws(',', CASE WHEN len(faults) > {FOLD['max_mismatches']} THEN 'FOLD-001' END, CASE WHEN len(list_filter(faults, lambda i: i >= 1 AND i < 4)) > 0 THEN 'FOLD-002' END, CASE WHEN runs[1] NOT BETWEEN {FOLD['terminal_min']} AND {FOLD['terminal_max']} THEN 'FOLD-003' END,
+  CASE WHEN list_max(runs) > {FOLD['max_run']} THEN 'FOLD-004' END, CASE WHEN added_nt > {FOLD['max_added']} THEN 'FOLD-005' END, CASE WHEN turn_nt <> {FOLD['turn_nt']} THEN 'FOLD-006' END) AS codes FROM r"""
 )
 def foldback_evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each whole item folded back on its first third: exact arms for even items, the item's own end for odd ones; all faults at once."""

@@ -38,7 +38,7 @@ def test_foldback_faults(spark):
         turn = len(pre) - stop + len(extension)
         tests = [len(faults) > 1, any(low <= start + k < high for k in faults), not 1 <= terminal <= 4, longest > 4, len(extension) + len(arm) > 8, turn != 3]
         assert (got[i].faults, got[i].longest, got[i].terminal, got[i].turn_nt) == (faults, longest, terminal, turn)
-        assert got[i].codes == [f"HOP-FOLD-00{k + 1}" for k, t in enumerate(tests) if t]
+        assert got[i].codes == [f"FOLD-00{k + 1}" for k, t in enumerate(tests) if t]
         assert got[i].designed == pre + extension + arm
 
 
