@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.dna import iupac_view
 from ..operators import difference, junction, pool
+from ..operators.scan import distinct_words
+from ..sources.shared import written
 from .construction import ORACLE_SQL, QUERIES
 from .pools import AXES, B, S, SELECTIONS, T
 from .sequences import NICK_AGENTS, query, scan_nicking_sites
@@ -149,9 +151,8 @@ GEOMETRIES_SQL = f"SELECT item_id AS geometry_id, substr(seq, 1, 4) AS template,
 
 
 def scars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.scan import distinct_words
-
-    return distinct_words(document_dna(spark, sf_dir), "dna", 4).withColumnRenamed("word", "scar")
+    """The documents' words of four bases, at most 256; written, as searches read them several times."""
+    return written(distinct_words(document_dna(spark, sf_dir), "dna", 4).withColumnRenamed("word", "scar"), "scars")
 
 
 def geometries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -139,7 +139,7 @@ def precursor_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 COMPARED = graphs.Comparison("p_partkey", ("p_size", "band"), ("p_name",), ("p_brand", "p_type"), (2.0, 1.0, 1.0))
-SETTINGS = graphs.Settings()
+SETTINGS = graphs.Settings(candidates=256)
 COMPARED_SQL = f"""WITH r AS (SELECT p_partkey, p_size, CAST(floor(p_retailprice / 10) AS BIGINT) AS band, p_name, p_brand, p_type FROM part),
 s AS (SELECT CAST(max(p_size) - min(p_size) AS DOUBLE) AS r1, CAST(max(band) - min(band) AS DOUBLE) AS r2 FROM r),
 c AS (SELECT p_partkey, sha256(coalesce(CAST(p_size AS VARCHAR), '-') || '|' || coalesce(CAST(band AS VARCHAR), '-')) AS structural_class FROM r),
