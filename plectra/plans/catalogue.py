@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from .contexts import ORACLE_SQL, QUERIES
+from .families import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
