@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import families, lineage
 from ..sources.genbank import FEATURE, genbank_text
+from ..sources.shared import written
 from .contexts import ORACLE_SQL, QUERIES
 from .records import ASSEMBLED_SQL, assembled
 from .sequences import query
@@ -119,7 +120,7 @@ STATES_SQL = ASSEMBLED_SQL + f""", sized AS (SELECT item_id, length({DNA_SQL}) A
 
 def states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(item_id, state, index, origin, k, n, start, stop): items as they are, with fragments turned, and backwards with the first fragment once more behind."""
-    rows = assembled(spark, sf_dir)
+    rows = written(assembled(spark, sf_dir), "assembled")  # four states and their joins read it
     sizes = item_dna(spark, sf_dir).select("item_id", F.length("dna").cast("long").alias("m"))
     source = rows.withColumns({"state": F.lit("source"), "index": F.col("origin")})
     copied = rows.join(sizes, "item_id").withColumn("state", F.lit("copied"))
@@ -174,7 +175,7 @@ UNION ALL SELECT item_id, NULL, NULL, NULL, NULL, reason FROM pd WHERE reason IS
 )
 def product_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bases of an item's duplex with the region of the assembled item they come from; every tenth base stands in two, some duplexes have no frame."""
-    rows = assembled(spark, sf_dir).select("item_id", "index", "origin")
+    rows = written(assembled(spark, sf_dir).select("item_id", "index", "origin"), "assembled")
     sizes = rows.groupBy("item_id").agg((F.max("origin") + 1).alias("m"))
     whole = rows.join(sizes, "item_id")
     region = F.when(F.col("index") < F.floor(F.col("m") / 8), "open").when((F.col("index") < F.floor(3 * F.col("m") / 8)) | (F.col("index") >= F.floor(5 * F.col("m") / 8)), "stem").otherwise("closing")
