@@ -30,3 +30,14 @@ def sample_of_each(docs: DataFrame, key: str, per_key: int) -> DataFrame:
     """Up to ``per_key`` rows of each key, by a hash of the id; Spark cuts the ranks before the shuffle too."""
     order = Window.partitionBy(key).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
     return docs.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_key).drop("_rank")
+
+
+def within_bytes(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """Rows of each key in the order of their ids' hash, as far as their texts together keep within ``most`` bytes.
+
+    A text that alone has more is passed over; so what the driver collects is bounded for texts of any length.
+    """
+    order = Window.partitionBy(key).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
+    size = F.octet_length("text").cast("long")
+    total = F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.where(size <= most).withColumn("_total", total).where(F.col("_total") <= most).drop("_total")

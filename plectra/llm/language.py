@@ -10,7 +10,7 @@ phrase that a stretch leaves open is carried into the next one until both parses
 where they agree, so the result is the longest-match parse of the whole text.
 
 Bounds of the sample: ``DOCS_A_LANGUAGE`` whole documents a language in the order of a hash, of which it takes
-documents until they hold ``SAMPLE_CHARS`` characters.
+documents until they hold ``SAMPLE_CHARS`` characters; documents of more than ``TEXT_BYTES`` are not learned from.
 
 Defined results: ``und`` with score 0 for a null text or one without letters, and for any if nothing can
 be learned; ties go to the first language in order; ids may repeat or be null; other columns are left out.
@@ -32,6 +32,7 @@ from .shared import table
 FOLDS, HELD_OUT = 4, 2
 DOCS_A_LANGUAGE = 60
 SAMPLE_CHARS = 40_000
+TEXT_BYTES = 4 << 20
 STRETCH = 1024
 LANES = 2048
 BLANK, UNSEEN = 0, 1
@@ -254,12 +255,12 @@ class Automata:
         return labels, scores
 
 
-def learn_samples(docs: DataFrame, per_language: int = DOCS_A_LANGUAGE, chars: int = SAMPLE_CHARS) -> dict[str, str]:
+def learn_samples(docs: DataFrame, per_language: int = DOCS_A_LANGUAGE, chars: int = SAMPLE_CHARS, text_bytes: int = TEXT_BYTES) -> dict[str, str]:
     """Whole texts of each language from the learning documents, within the bounds of the module's head."""
     known = docs.where((fold("doc_id", FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     text = F.col("text").cast("string")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    ranked = known.select("doc_id", F.col("lang").cast("string").alias("lang"), text.alias("text"))
+    ranked = known.select("doc_id", F.col("lang").cast("string").alias("lang"), text.alias("text")).where(F.octet_length("text") <= text_bytes)
     ranked = ranked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language)
     held = F.sum(F.char_length("text")).over(Window.partitionBy("lang").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
     rows = ranked.withColumn("held", F.coalesce(held, F.lit(0))).where(F.col("held") < chars).collect()

@@ -5,7 +5,7 @@ vectors of its hashed character n-grams.  Two gated recurrent layers read the wi
 attention pools their states into one logit.  A document is scored by the greatest logit over all
 overlapping windows (``WINDOW`` words, every ``STRIDE``).  Training sees documents only: the first passes draw up to
 ``DRAWN`` windows of each document at random, anew in each pass; each later pass follows the window of all that scores
-highest as the pass begins.
+highest as the pass begins.  Bounds of what is learned from: ``PER_CLASS`` documents of each label, of ``CLASS_BYTES`` together.
 
 Defined results: a null or empty text is one window without words, scored by the bias alone; without two labels
 to learn from every score is 0.5; ids may repeat or be null; other columns are left out.
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bytetext import BYTE_VALUE, PLACE_VALUE, U64, as_bytes, chunks, fold as fold_case, mix, word_hashes, words
-from .folds import fold, labelled_sample
+from .folds import fold, labelled_sample, within_bytes
 from .shared import table
 
 FOLDS, HELD_OUT = 5, 0
@@ -29,6 +29,7 @@ WORD_BUCKETS, GRAM_BITS = 4096, 14
 GRAMS = (3, 6)
 DIM, HIDDEN = 8, 10
 PER_CLASS = 500
+CLASS_BYTES = 32 << 20
 DRAWN = 6
 EPOCHS = 20
 EARLY = 10
@@ -257,11 +258,12 @@ def grid(types: Types, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return types.of_word[np.minimum(at, len(types.of_word) - 1)] if len(types.of_word) else np.zeros_like(at)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Network | None:
-    """Learns from the whole texts of up to ``per_class`` documents of each label."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, class_bytes: int = CLASS_BYTES) -> Network | None:
+    """Learns from the whole texts of up to ``per_class`` documents of each label, of ``class_bytes`` together."""
     learn = fold("doc_id", FOLDS) != HELD_OUT
     narrow = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = labelled_sample(narrow, labels, "toxic", learn, per_class).select("doc_id", "text", "label").collect()
+    sample = labelled_sample(narrow, labels, "toxic", learn, per_class).select("doc_id", "text", "label")
+    rows = within_bytes(sample, "label", class_bytes).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["label"], r["text"]))
     if len({r["label"] for r in rows}) < 2:
         return None
