@@ -155,7 +155,7 @@ n AS (SELECT a, count(*) AS wanted, max(distance) AS bound FROM (SELECT * FROM d
 
 def part_graph(spark: SparkSession, sf_dir: str) -> graphs.Graph:
     parts = table(spark, sf_dir, "part").withColumn("band", F.floor(F.col("p_retailprice") / 10))
-    return graphs.neighbour_graph(parts, COMPARED, SETTINGS)
+    return graphs.exact_graph(parts, COMPARED, SETTINGS)
 
 
 @query(COMPARED_SQL + "SELECT a AS p_partkey, structural_class, wanted, bound, CAST(1.0 AS DOUBLE) AS recall FROM n JOIN q ON q.p_partkey = n.a")

@@ -287,6 +287,30 @@ def test_a_poor_graph_is_refused(spark, monkeypatch):
         graphs.neighbour_graph(df, COMPARED, graphs.Settings(pivots=2, candidates=4, most_candidates=8, audited=20, neighbours=5, kept=5, through=1, descents=0))
 
 
+@pytest.mark.parametrize("few, worth, full", [(2048, 0.2, 16), (2048, 1.0, 0), (1, 1.0, 0), (1, 0.2, 16)])
+def test_exact_graph(spark, monkeypatch, few, worth, full):
+    """Every row's nearest by (distance, key), copies and missing numbers included, without windows; a window's graph may lack some."""
+    monkeypatch.setattr(graphs, "near_in_order", lambda orders, reach: pytest.fail("no windows"))
+    for name, value in (("FEW_TEXTS", few), ("WORTH_TILES", worth), ("FULL_CELL", full)):
+        monkeypatch.setattr(graphs, name, value)
+    rows, df = descriptors(spark, 60)
+    rows = [(k, None if k % 11 == 0 else s, t, None if k % 13 == 0 else w, kind) for k, s, t, w, kind in rows]
+    df = spark.createDataFrame(rows, df.schema)
+    spread = [max(r[i] for r in rows if r[i] is not None) - min(r[i] for r in rows if r[i] is not None) for i in (1, 2)]
+
+    def distance(a, b):
+        shape = 0 if None in (a[1], b[1]) else sum(abs(a[i] - b[i]) / spread[i - 1] for i in (1, 2)) / 2
+        x, y = a[3] or "", b[3] or ""
+        words = min(1.0, max(0.0, (edits(x, y) - abs(len(x) - len(y))) / max(1, min(len(x), len(y)))))
+        return round((2 * shape + words + (a[4] != b[4])) / 4, 9)
+
+    found = graphs.exact_graph(df, COMPARED, graphs.Settings(audited=10, neighbours=5))
+    got = sorted((r.a, r.place, r.distance) for r in found.edges.collect())
+    want = [(a[0], i + 1, d) for a in sorted(rows) for i, d in enumerate(sorted(distance(a, b) for b in rows if b[0] != a[0])[:5])]
+    assert [g[:2] for g in got] == [w[:2] for w in want] and [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=2e-9)
+    assert found.candidates <= 6 and min(r.recall for r in found.audit.collect()) == 1.0
+
+
 def test_audit_sample_takes_rare_classes_first(spark):
     df = spark.createDataFrame([(i, 1 if i < 50 else i, 0.0, "", None) for i in range(60)], "key long, s int, t double, word string, kind string")
     drawn = graphs.audit_sample(df, COMPARED, 12, "x").collect()
