@@ -1,5 +1,6 @@
 """Published small cases and properties of the sequence operators."""
 
+import hashlib
 import itertools
 
 import pytest
@@ -167,3 +168,18 @@ def test_storage(spark):
     rows = spark.createDataFrame([("é",), (None,), ("abc",)], "text string")
     assert tuple(resumable.storage(rows, "text").first()) == (3, 5)
     assert tuple(resumable.storage(rows.limit(0), "text").first()) == (0, 0)
+
+
+def test_digests_go_by_order(spark):
+    """The digest is of the whole ordered log, over several batches too; a sum of digests would not be."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [(k, i, None if (k, i) == (2, 1) else f"{k}-{i}") for k in (1, 2, None) for i in range(20)] + [(5, 0, None)]
+        df = spark.createDataFrame(rows[::-1], "k long, i int, said string")
+        got = {r.k: (r.digest, r.n) for r in lineage.ordered_digest(df, "k", "i", "said", "digest", "n").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for k in (1, 2, None):
+        text = ",".join(said for a, _, said in rows if a == k and said is not None)
+        assert got[k] == (hashlib.sha256(text.encode()).hexdigest(), 20)
+    assert got[5] == (None, 1) and len(got) == 4
