@@ -124,13 +124,29 @@ def subsets(df: DataFrame, group: str, item: str, width: int) -> DataFrame:
     return out
 
 
-def merged_intervals(df: DataFrame, key: str, low: str, high: str, gap: int = 1) -> DataFrame:
-    """Integer intervals of each key, merged where they touch (gaps and islands)."""
-    order = Window.partitionBy(key).orderBy(low, high)
+PER_TASK = 250_000  # rows that a task sorts, about
+BLOCK = 1 << 12
+
+
+def _islands(df: DataFrame, by: list[str], low: str, high: str, gap: int) -> DataFrame:
+    order = Window.partitionBy(*by).orderBy(low, high)
     reach = F.max(high).over(order.rowsBetween(Window.unboundedPreceding, -1))
     new = F.when(reach.isNull() | (F.col(low) > reach + gap), 1).otherwise(0)
     marked = df.withColumn("_new", new).withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(key, "_island").agg(F.min(low).alias("low"), F.max(high).alias("high")).drop("_island")
+    return marked.groupBy(*by, "_island").agg(F.min(low).alias("low"), F.max(high).alias("high")).drop("_island")
+
+
+def merged_intervals(df: DataFrame, key: str, low: str, high: str, gap: int = 1) -> DataFrame:
+    """Integer intervals of each key, merged where they touch (gaps and islands).
+
+    Intervals are merged within blocks of low ends first, and the islands of the blocks after them, both over as many tasks as there are
+    rows for: what a task sorts does not grow with the table, and of a large key only the islands meet.
+    """
+    rows = df.select(key, F.col(low).alias("low"), F.col(high).alias("high"))
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // PER_TASK))
+    blocks = rows.withColumn("_block", F.floor(F.col("low") / BLOCK)).repartition(tasks, key, "_block")
+    merged = _islands(blocks, [key, "_block"], "low", "high", gap).drop("_block").repartition(tasks, key)
+    return _islands(merged, [key], "low", "high", gap)
 
 
 def window_words(df: DataFrame, seq: str, start: int, end: int) -> DataFrame:

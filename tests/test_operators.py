@@ -183,3 +183,19 @@ def test_digests_go_by_order(spark):
         text = ",".join(said for a, _, said in rows if a == k and said is not None)
         assert got[k] == (hashlib.sha256(text.encode()).hexdigest(), 20)
     assert got[5] == (None, 1) and len(got) == 4
+
+
+def test_intervals_merge_across_blocks(spark, monkeypatch):
+    """Blocks of low ends are merged first, over more tasks where there are more rows; the union is the same."""
+    monkeypatch.setattr(domains, "BLOCK", 8)
+    monkeypatch.setattr(domains, "PER_TASK", 20)
+    rows = [(k, i * 37 % 211 * (1 + k), i * 37 % 211 * (1 + k) + i % 5) for k in range(3) for i in range(60)] + [(7, 0, 100), (7, 40, 41), (7, 101, 101), (7, 103, 104)]
+    df = spark.createDataFrame(rows, "k int, lo long, hi long")
+    want = []
+    for k, lo, hi in sorted(rows):
+        if want and want[-1][0] == k and lo <= want[-1][2] + 1:
+            want[-1][2] = max(want[-1][2], hi)
+        else:
+            want.append([k, lo, hi])
+    found = domains.merged_intervals(df, "k", "lo", "hi")
+    assert sorted(map(list, found.collect())) == want
