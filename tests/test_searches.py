@@ -183,6 +183,20 @@ def test_groups(spark):
     assert sorted(tuple(r) for r in grouping.all_sets(df, brief).collect()) == sorted(row[1:4] for row in every if row[4] is None)
 
 
+def test_sets_of_copies(spark):
+    """Copies of options make lists and not rows of the joins; an option in two slots is in no set twice."""
+    options = [(i, "ELS"[i % 3], "ab"[i % 3 // 2], 1) for i in range(120)] + [(0, "L", "a", 1), (7, "S", "b", None), (None, "S", "b", 1)]
+    df = spark.createDataFrame(options, "id long, kind string, product string, band int")
+    brief = grouping.Brief({"l": "E", "m": "L", "r": "S"}, (("l", "m"), ("r",)), "id", "kind", "product", ("band",), 1, 1)
+    lists = grouping.joined_lists(df, brief).collect()
+    assert len(lists) == 8 and max(len(x) for row in lists for x in (row.l, row.m, row.r)) == 32
+    sides = [[i for i, k, _, band in options if k == kind and None not in (i, band)] for kind in "ELS"]
+    want = sorted(x for x in itertools.product(*sides) if len(set(x)) == 3)
+    assert len(want) == 40 * 41 * 40 - 40
+    assert sorted(tuple(r) for r in grouping.all_sets(df, brief).collect()) == want
+
+
+
 def test_partitions(spark):
     rng = random.Random(8)
     sources = {i: "".join(rng.choice("ACGT") for _ in range(n)) for i, n in enumerate((30, 12, 3, 25))}
