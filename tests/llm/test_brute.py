@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -48,6 +49,21 @@ def test_multikey_sort_finds_equal_suffixes():
         assert suffix_dedup.multikey_ties(words, starts, length).tolist() == want
 
 
+def test_op1_sorts_only_what_differs(monkeypatch):
+    """Suffixes that stay together are not sorted again at each level."""
+    rng, handed = random.Random(4), []
+    passage = rng.randbytes(3000)
+    data = np.frombuffer(passage + rng.randbytes(500) + passage + rng.randbytes(500), np.uint8)
+    words, starts = suffix_dedup.word_view(data).astype(np.uint64), np.arange(len(data) - 400)
+    argsort, lexsort = np.argsort, np.lexsort
+    monkeypatch.setattr(np, "argsort", lambda key: handed.append(len(key)) or argsort(key))
+    monkeypatch.setattr(np, "lexsort", lambda keys: handed.append(len(keys[0])) or lexsort(keys))
+    ties = suffix_dedup.multikey_ties(words, starts, 400)
+    assert np.flatnonzero(ties).tolist() == [*range(2601), *range(3500, 6101)]
+    assert sum(handed) < 2 * len(starts)
+
+
+
 def test_op3_edits_and_votes(spark, texts):
     got = {r.doc_id: r for r in simhash.op3_fingerprints(spark, SF).collect()}
     ids = sorted(texts)
