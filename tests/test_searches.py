@@ -196,6 +196,19 @@ def test_sets_of_copies(spark):
     assert sorted(tuple(r) for r in grouping.all_sets(df, brief).collect()) == want
 
 
+def test_sets_open_the_last_list_alone(spark):
+    """The last slot's lists are longer, lose repeated options before they are opened, and are opened in a loop of their own."""
+    options = [(i, kind, product, 1) for kind, product, ids in (("E", "a", range(3)), ("L", "a", range(2, 6)), ("S", "b", range(1, 300))) for i in ids]
+    df = spark.createDataFrame(options, "id long, kind string, product string, band int")
+    brief = grouping.Brief({"l": "E", "m": "L", "r": "S"}, (("l", "m"), ("r",)), "id", "kind", "product", ("band",), 1, 1)
+    sets = grouping.all_sets(df, brief)
+    want = sorted(x for x in itertools.product(range(3), range(2, 6), range(1, 300)) if len(set(x)) == 3)
+    assert sorted(tuple(r) for r in sets.collect()) == want
+    stages = dict((name, stage) for stage, name in re.findall(r"\*\((\d+)\) Generate explode\((\w)#", sets._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]))
+    assert set(stages) == {"l", "m", "r"} and stages["l"] == stages["m"] != stages["r"]
+    assert sorted(len(row.r) for row in grouping.joined_lists(df, brief, grouping.OPENED).collect()) == [43, 128, 128]
+
+
 
 def test_partitions(spark):
     rng = random.Random(8)
